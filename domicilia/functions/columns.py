@@ -17,8 +17,12 @@ def member(column: Column, values: Sequence) -> Column:
 
 def lookup(column: Column, labels: Mapping) -> Column:
     """Label of a code; NULL for unknown codes. The list is a literal of the plan."""
-    pairs = [F.lit(part) for item in labels.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), column)
+    pairs = ", ".join(f"{_literal(code)}, {_literal(label)}" for code, label in labels.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), column)
+
+
+def _literal(value: int | str) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
 
 
 def flag(condition: Column) -> Column:

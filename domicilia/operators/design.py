@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,8 @@ from domicilia.operators.joins import SIDE_LIMIT, Side, attach, bounded_side
 
 # Poisson counts above this have a probability below double precision (rate <= 1).
 _POISSON_TERMS = 18
+# Hashing of 32-bit words.
+_WORD, _MULTIPLIER, _STRIDE = 0xFFFFFFFF, 0x45D9F3B, 0x9E3779B1
 _DRAW_CHUNK = 4096
 _DRAWS_PER_TASK = 500_000
 
@@ -70,97 +71,97 @@ def post_stratify(frame: DataFrame, design: Design, rows: str | None = None) ->
     return weighted.withColumn("w", F.col(design.weight) * F.col("_g")).drop("_g")
 
 
-def _hex(text: Column, start: int, digits: int) -> Column:
-    return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
+# Expressions that are used in several places are written as SQL text.
 
 
-def _key(design: Design, *parts: Column | str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(design.seed)), F.col(design.stratum).cast("string"), *parts))
+def _hex(text: str, start: int, digits: int) -> str:
+    return f"cast(conv(substring({text}, {start}, {digits}), 16, 10) as bigint)"
+
+
+def _digest(design: Design, *parts: str) -> str:
+    return f"md5(concat_ws(':', '{design.seed}', `{design.stratum}`, {', '.join(parts)}))"
 
 
 def _bucket(design: Design) -> Column:
-    digest = F.md5(F.col(design.psu).cast("string"))
-    return F.pmod(_hex(digest, 1, 8), F.lit(design.buckets)).cast("int").alias("_bucket")
+    text = _hex(f"md5(cast(`{design.psu}` as string))", 1, 8)
+    return F.expr(f"cast(pmod({text}, {design.buckets}) as int) as _bucket")
 
 
-def _uniforms(design: Design) -> Column:
-    """One number in [0, 1) per replicate, a function of seed, stratum and PSU.
+def _stir(frame: DataFrame, column: str) -> DataFrame:
+    """Scatter a 32-bit number held in a long: shift, multiply, twice over.
 
-    A digest holds two of them, 52 bits each.
+    One column per step, because each step reads the one before it twice.
     """
-    pairs = F.sequence(F.lit(1), F.lit((design.replicates + 1) // 2))
-    psu = F.col(design.psu).cast("string")
-    digests = F.transform(pairs, lambda p: _key(design, psu, p.cast("string")))
-    both = F.transform(digests, lambda d: F.array(_hex(d, 1, 13), _hex(d, 14, 13)))
-    scaled = F.transform(F.flatten(both), lambda v: v / F.lit(2.0**52))
-    return F.slice(scaled, 1, design.replicates) if design.replicates % 2 else scaled
+    shifted = f"({column} ^ shiftright({column}, 16))"
+    step = F.expr(f"({shifted} * {_MULTIPLIER}L) & {_WORD}L")
+    return frame.withColumn(column, step).withColumn(column, step).withColumn(column, F.expr(shifted))
 
 
-def _poisson_steps(rate: Column) -> Column:
-    """Distribution function of a Poisson count at 0, 1, 2, ..."""
-    terms, steps = [F.lit(1.0)], []
-    for k in range(1, _POISSON_TERMS):
-        terms.append(F.pow(rate, F.lit(float(k))) / F.lit(float(factorial(k))))
-    partial = F.lit(0.0)
-    for term in terms:
-        partial = partial + term
-        steps.append(F.exp(-rate) * partial)
-    return F.array(*steps)
+def _with_counts(frame: DataFrame, design: Design) -> DataFrame:
+    """One row per replicate 0..R, with `_k`, the PSU's independent count in it.
 
+    The count is that of a Poisson variable whose rate comes with `_steps`, at a
+    52-bit number hashed from seed, stratum, PSU and replicate. Everything runs in
+    generated code; a digest is taken once per row, not per replicate.
+    """
+    digested = frame.withColumn("_md5", F.expr(_digest(design, f"`{design.psu}`")))
+    keyed = digested.withColumns({"_a": F.expr(_hex("_md5", 1, 8)), "_b": F.expr(_hex("_md5", 9, 8))})
+    unfolded = keyed.drop("_md5").withColumn("rep", F.expr(f"explode(sequence(0, {design.replicates}))"))
+    moved = unfolded.withColumn("_a", F.expr(f"(_a + rep * {_STRIDE}L) & {_WORD}L"))
+    stirred = _stir(_stir(moved, "_a").withColumn("_b", F.expr("_a ^ _b")), "_b")
+    uniform = stirred.withColumn("_u", F.expr(f"(_a * {2**20}L + shiftright(_b, 12)) / {2.0**52}D")).drop("_a", "_b")
+    arms = " ".join(f"when _u < get(_steps, {k}) then {k}" for k in range(_POISSON_TERMS))
+    return uniform.withColumn("_k", F.expr(f"case {arms} else {_POISSON_TERMS} end")).drop("_u")
 
-def _count_at(uniform: Column) -> Column:
-    """Poisson count at a uniform number; nearly always settled by the first steps."""
-    chain = F.when(uniform < F.col("_steps")[0], 0)
-    for k in range(1, _POISSON_TERMS):
-        chain = chain.when(uniform < F.col("_steps")[k], k)
-    return chain.otherwise(_POISSON_TERMS)
+
+def _poisson_steps(rate: str) -> Column:
+    """Distribution function of a Poisson count at 0, 1, 2, ..."""
+    terms = f"transform(sequence(0, {_POISSON_TERMS - 1}), k -> exp(-{rate}) * pow({rate}, k) / factorial(k))"
+    upto = f"sequence(1, {_POISSON_TERMS})"
+    return F.expr(f"transform({upto}, n -> aggregate(slice({terms}, 1, n), 0D, (total, term) -> total + term))")
 
 
 def _strata(sizes: Side, design: Design) -> Side:
     """PSU count of each stratum and the rate of its independent counts."""
-    draws = F.col("n_h") - 1
-    rate = F.greatest(F.lit(0.0), draws - F.lit(design.slack) * F.sqrt(draws)) / F.col("n_h")
+    rate = f"greatest(0D, n_h - 1 - {design.slack}D * sqrt(n_h - 1)) / n_h as _rate"
     return sizes.map(
         lambda s: s.groupBy(design.stratum)
         .agg(F.sum("_n").alias("n_h"))
-        .withColumn("_steps", _poisson_steps(rate))
+        .select(design.stratum, "n_h", F.expr(rate))
+        .select(design.stratum, "n_h", _poisson_steps("_rate").alias("_steps"))
     )
 
 
-def _fills(local: DataFrame, design: Design) -> DataFrame:
+def _fills(counts: DataFrame, design: Design) -> DataFrame:
     """Per stratum: which replicates keep their independent counts, and the draws left."""
-    sums = (
-        local.select(design.stratum, "n_h", F.posexplode("_local").alias("_rep", "_k"))
-        .groupBy(design.stratum, "n_h", "_rep")
-        .agg(F.sum("_k").alias("_sum"))
-    )
-    listed = sums.groupBy(design.stratum, "n_h").agg(F.array_sort(F.collect_list(F.struct("_rep", "_sum"))).alias("_sums"))
-    draws = F.col("n_h") - 1
+    sums = counts.filter("rep > 0").groupBy(design.stratum, "n_h", "rep").agg(F.sum("_k").alias("_sum"))
+    listed = sums.groupBy(design.stratum, "n_h").agg(F.expr("array_sort(collect_list(struct(rep, _sum))) as _sums"))
+    left = "if(s._sum <= n_h - 1, n_h - 1 - s._sum, n_h - 1)"
     return listed.select(
         design.stratum,
-        "n_h",
-        F.transform("_sums", lambda s: s["_sum"] <= draws).alias("_keep"),
-        F.transform("_sums", lambda s: F.when(s["_sum"] <= draws, draws - s["_sum"]).otherwise(draws)).alias("_fill"),
+        F.expr("transform(_sums, s -> s._sum <= n_h - 1) as _keep"),
+        F.expr(f"transform(_sums, s -> {left}) as _fill"),
     )
 
 
-def _targets(fills: Side, design: Design) -> DataFrame:
-    """The remaining draws: (stratum, number of the PSU drawn, replicate)."""
-    cells = fills.frame.select(design.stratum, "n_h", F.posexplode("_fill").alias("_rep", "_m")).filter("_m > 0")
-    chunks = cells.withColumn(
-        "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(_DRAW_CHUNK).cast("long")))
-    )
-    if fills.bounded:
-        drawn = cells.agg(F.sum("_m")).first()[0] or 0
-        if drawn > _DRAWS_PER_TASK:
-            parts = -(-drawn // _DRAWS_PER_TASK)
-            chunks = chunks.repartition(parts, design.stratum, "_rep", "_from")
-    else:
-        chunks = chunks.repartition(design.stratum, "_rep", "_from")
-    last = F.least(F.col("_m") - 1, F.col("_from") + _DRAW_CHUNK - 1)
-    draws = chunks.withColumn("_j", F.explode(F.sequence(F.col("_from"), last)))
-    digest = _key(design, F.lit("draw"), F.col("_rep").cast("string"), F.col("_j").cast("string"))
-    return draws.select(design.stratum, (F.pmod(_hex(digest, 1, 15), F.col("n_h")) + 1).alias("_idx"), "_rep")
+def _targets(strata: Side, design: Design) -> DataFrame:
+    """The remaining draws: (stratum, number of the PSU drawn, replicate).
+
+    Listed in chunks that spread over the tasks. Nothing lets the planner know how
+    many draws a stratum has, so the join they are for gets its hint here: broadcast
+    when their number is known to be small, sort-merge otherwise.
+    """
+    cells = strata.frame.select(design.stratum, "n_h", F.posexplode("_fill").alias("_pos", "_m")).filter("_m > 0")
+    chunks = cells.withColumn("_from", F.expr(f"explode(sequence(0L, _m - 1, {_DRAW_CHUNK}L))"))
+    drawn = None if strata.rows is None else sum(sum(fill) for fill in strata.rows["_fill"].to_pylist())
+    if drawn is None:
+        chunks = chunks.repartition(design.stratum, "_pos", "_from")
+    elif drawn > _DRAWS_PER_TASK:
+        chunks = chunks.repartition(-(-drawn // _DRAWS_PER_TASK), design.stratum, "_pos", "_from")
+    draws = chunks.withColumn("_j", F.expr(f"explode(sequence(_from, least(_m - 1, _from + {_DRAW_CHUNK - 1})))"))
+    target = f"pmod({_hex(_digest(design, "'draw'", '_pos + 1', '_j'), 1, 15)}, n_h) + 1 as _idx"
+    targets = draws.select(design.stratum, F.expr(target), "_pos")
+    return F.broadcast(targets) if drawn is not None and drawn <= design.side_limit else targets.hint("merge")
 
 
 def _numbered(psus: DataFrame, sizes: Side, design: Design) -> DataFrame:
@@ -178,13 +179,37 @@ def _numbered(psus: DataFrame, sizes: Side, design: Design) -> DataFrame:
     return numbered.select(design.stratum, design.psu, (F.col("_before") + F.col("_row")).alias("_idx"))
 
 
-def replicate(psus: DataFrame, design: Design) -> DataFrame:
-    """Add bootstrap replicates to a frame that has one row per PSU.
+@dataclass(frozen=True)
+class Replicates:
+    """Bootstrap replicates of a sample: a row per stratum, and a column on the sample.
+
+    strata   n_h, `_steps` and `_keep` of each stratum
+    The sample's frames carry `extra`, the explicit draws of a PSU per replicate,
+    NULL for most PSUs.
+    """
+
+    design: Design
+    strata: Side
+
+    def unfold(self, frame: DataFrame) -> DataFrame:
+        """One row per replicate, with the `factor` on the weight of its PSU.
+
+        Replicate 0 is the full sample. `frame` may hold members of PSUs and any
+        part of the sample.
+        """
+        design = self.design
+        sized = attach(frame, self.strata, [design.stratum], [design.psu])
+        count = "(if(get(_keep, rep - 1), _k, 0) + coalesce(get(extra, rep - 1), 0S))"
+        factor = F.expr(f"case when rep = 0 or n_h = 1 then 1D else {count} * (n_h / (n_h - 1)) end")
+        return _with_counts(sized, design).withColumn("factor", factor).drop("n_h", "_steps", "_keep", "_k", "extra")
 
-    Each replicate draws n_h - 1 of the n_h PSUs of a stratum with replacement.
-    `reps` holds how often the PSU was drawn in each replicate; the factor on its
-    weight is that count times `rep_scale` = n_h / (n_h - 1). A PSU alone in its
-    stratum keeps factor 1.
+
+def replicate(psus: DataFrame, design: Design) -> tuple[DataFrame, Replicates]:
+    """Bootstrap replicates for a frame that has one row per PSU.
+
+    Each replicate draws n_h - 1 of the n_h PSUs of a stratum with replacement; the
+    factor of a PSU is the number of times it was drawn times n_h / (n_h - 1). A PSU
+    alone in its stratum keeps factor 1.
 
     Moving every draw to its PSU would shuffle PSUs x replicates rows. Instead every
     PSU takes an independent Poisson count from a hash of its own key, with a rate
@@ -198,42 +223,28 @@ def replicate(psus: DataFrame, design: Design) -> DataFrame:
     bucketed = psus.select(design.stratum, _bucket(design))
     sizes = bounded_side(bucketed.groupBy(design.stratum, "_bucket").agg(F.count("*").alias("_n")), design.side_limit)
     strata = _strata(sizes, design)
-
-    def with_local(frame: DataFrame) -> DataFrame:
-        sized = attach(frame, strata, [design.stratum], [design.psu])
-        return sized.withColumn("_local", F.transform(_uniforms(design), _count_at)).drop("_steps")
-
-    fills = bounded_side(_fills(with_local(psus.select(design.stratum, design.psu)), design), design.side_limit // 10)
+    counts = _with_counts(
+        attach(psus.select(design.stratum, design.psu), strata, [design.stratum], [design.psu]), design
+    )
+    fills = _fills(counts, design)
+    if sizes.bounded:
+        strata = bounded_side(strata.frame.join(fills, design.stratum), design.side_limit)
+    else:
+        strata = Side(strata.frame.join(fills, design.stratum), False)
+    times = "cast(size(filter(_drawn, d -> d = r)) as smallint)"
+    dense = f"transform(sequence(0, {design.replicates - 1}), r -> {times}) as extra"
     extra = (
-        _targets(fills, design)
-        .join(_numbered(psus, sizes, design), [design.stratum, "_idx"])
+        _numbered(psus, sizes, design)
+        .join(_targets(strata, design), [design.stratum, "_idx"])
         .groupBy(design.stratum, design.psu)
-        .agg(F.collect_list("_rep").alias("_extra"))
-    )
-    counted = attach(
-        with_local(psus), fills.map(lambda f: f.select(design.stratum, "_keep")), [design.stratum], [design.psu]
-    ).join(extra, [design.stratum, design.psu], "left")
-
-    kept = F.when(
-        F.exists("_keep", lambda k: ~k), F.zip_with("_local", "_keep", lambda c, k: F.when(k, c).otherwise(0))
-    ).otherwise(F.col("_local"))
-    filled = F.when(F.col("_extra").isNull(), F.col("_kept")).otherwise(
-        F.transform("_kept", lambda c, i: c + F.size(F.filter("_extra", lambda e: e == i)))
-    )
-    alone = F.col("n_h") == 1
-    ones = F.array_repeat(F.lit(1), design.replicates)
-    return (
-        counted.withColumn("_kept", kept)
-        .withColumn("reps", F.when(alone, ones).otherwise(filled).cast("array<smallint>"))
-        .withColumn("rep_scale", F.when(alone, 1.0).otherwise(F.col("n_h") / (F.col("n_h") - F.lit(1.0))))
-        .drop("_local", "_keep", "_extra", "_kept")
+        .agg(F.collect_list("_pos").alias("_drawn"))
+        .select(design.stratum, design.psu, F.expr(dense))
     )
+    frame = psus.join(extra, [design.stratum, design.psu], "left")
+    return frame, Replicates(design, strata.map(lambda s: s.drop("_fill")))
 
 
-def factors(replicated: DataFrame, design: Design) -> DataFrame:
+def factors(frame: DataFrame, replicates: Replicates) -> DataFrame:
     """Replicate factors in long form: one row per PSU and replicate."""
-    return replicated.select(
-        design.stratum, design.psu, "rep_scale", F.posexplode("reps").alias("_pos", "_count")
-    ).select(
-        design.stratum, design.psu, (F.col("_pos") + 1).alias("rep"), (F.col("_count") * F.col("rep_scale")).alias("factor")
-    )
+    keys = [replicates.design.stratum, replicates.design.psu]
+    return replicates.unfold(frame.select(*keys, "extra")).filter("rep > 0").select(*keys, "rep", "factor")

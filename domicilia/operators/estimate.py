@@ -1,10 +1,9 @@
 """Totals, means and shares with bootstrap errors.
 
-Input frames carry `w` (final weight), `reps` and `rep_scale` (see `design`). The
-full sample travels as replicate 0. All weighting happens in one partial aggregation
-by (domain, replicate), so what is shuffled is domains x replicates rows per task,
-whatever the number of sample rows. Roll-ups, ratios and errors are computed on
-those few totals.
+Input frames carry `w` (final weight) and `extra` (see `design`). The full sample
+travels as replicate 0. All weighting happens in one partial aggregation by (domain,
+replicate), so what is shuffled is domains x replicates rows per task, whatever the
+number of sample rows. Roll-ups, ratios and errors are computed on those few totals.
 """
 
 from __future__ import annotations
@@ -16,36 +15,38 @@ from pyspark.sql import functions as F
 
 from domicilia.functions.student import t_quantile
 from domicilia.operators.aggregates import strict_sum, total_rows
-from domicilia.operators.design import Design
+from domicilia.operators.design import Design, Replicates
 from domicilia.operators.joins import null_safe_left_join
 
 Measures = Mapping[str, Column | None]
 
 
-def members_by_psu(frame: DataFrame, psu: Sequence[str], by: Sequence[str], measures: Measures) -> DataFrame:
+def members_by_psu(frame: DataFrame, design: Design, by: Sequence[str], measures: Measures) -> DataFrame:
     """Sum the members of a PSU before its replicates are unfolded.
 
     Worth it where PSUs have many rows. Measures become the PSU's own totals.
     """
     sums = [
-        (F.count("*") if value is None else strict_sum(value.cast("double"))).alias(f"{name}")
+        (F.count("*") if value is None else strict_sum(value.cast("double"))).alias(name)
         for name, value in measures.items()
     ]
-    return frame.groupBy(*psu, "w", "reps", "rep_scale", *by).agg(*sums)
+    keys = dict.fromkeys([design.stratum, design.psu, "w", "extra", *by])
+    return frame.groupBy(*keys).agg(*sums)
 
 
-def replicate_totals(frame: DataFrame, by: Sequence[str], measures: Measures, na_rm: bool = False) -> DataFrame:
+def replicate_totals(
+    frame: DataFrame, by: Sequence[str], measures: Measures, replicates: Replicates, na_rm: bool = False
+) -> DataFrame:
     """Weighted sums by domain and replicate; replicate 0 is the full sample.
 
     A measure of None counts rows. Every domain has a row for every replicate, also
     for those that drew none of its PSUs. A NULL value makes the domain's sum NULL
     unless `na_rm`.
     """
+    design = replicates.design
     inputs = [value.alias(f"_x_{name}") for name, value in measures.items() if value is not None]
-    whole = F.array(F.lit(-1).cast("smallint"))
-    unfolded = frame.select(*by, *inputs, "w", "rep_scale", F.posexplode(F.concat(whole, "reps")).alias("rep", "_count"))
-    factor = F.when(F.col("_count") < 0, 1.0).otherwise(F.col("_count") * F.col("rep_scale"))
-    weighted = unfolded.withColumn("_w", F.col("w") * factor)
+    needed = dict.fromkeys([design.stratum, design.psu, "w", "extra", *by])
+    weighted = replicates.unfold(frame.select(*needed, *inputs)).withColumn("_w", F.col("w") * F.col("factor"))
 
     def total(name: str, value: Column | None) -> Column:
         if value is None:
@@ -92,48 +93,48 @@ def survey_total(
     frame: DataFrame,
     by: Sequence[str],
     measures: Measures,
-    design: Design,
+    replicates: Replicates,
     vartype: Sequence[str] = ("se",),
     fill: str | None = None,
     na_rm: bool = False,
     df: float | None = None,
 ) -> DataFrame:
     """Weighted totals; `fill` adds roll-up rows labelled with it."""
-    totals = _with_totals(replicate_totals(frame, by, measures, na_rm), by, list(measures), fill)
-    return summarise(totals, by, list(measures), design, vartype, df)
+    totals = _with_totals(replicate_totals(frame, by, measures, replicates, na_rm), by, list(measures), fill)
+    return summarise(totals, by, list(measures), replicates.design, vartype, df)
 
 
 def survey_mean(
     frame: DataFrame,
     by: Sequence[str],
     measures: Mapping[str, Column],
-    design: Design,
+    replicates: Replicates,
     vartype: Sequence[str] = ("se",),
     fill: str | None = None,
     df: float | None = None,
 ) -> DataFrame:
     """Weighted means; the ratio is taken in each replicate."""
     names = list(measures)
-    totals = replicate_totals(frame, by, {**measures, "_size": None})
+    totals = replicate_totals(frame, by, {**measures, "_size": None}, replicates)
     totals = _with_totals(totals, by, [*names, "_size"], fill)
     ratios = totals.select(*by, "rep", *[F.try_divide(n, "_size").alias(n) for n in names])
-    return summarise(ratios, by, names, design, vartype, df)
+    return summarise(ratios, by, names, replicates.design, vartype, df)
 
 
 def survey_share(
     frame: DataFrame,
     outer: Sequence[str],
     inner: str,
-    design: Design,
+    replicates: Replicates,
     name: str = "pct",
     vartype: Sequence[str] = ("se",),
     df: float | None = None,
 ) -> DataFrame:
     """Weighted share of each `inner` level within its outer group."""
-    totals = replicate_totals(frame, [*outer, inner], {name: None})
+    totals = replicate_totals(frame, [*outer, inner], {name: None}, replicates)
     whole = totals.groupBy(*outer, "rep").agg(F.sum(name).alias("_all"))
     ratios = null_safe_left_join(totals, whole, [*outer, "rep"]).withColumn(name, F.try_divide(name, "_all")).drop("_all")
-    return summarise(ratios, [*outer, inner], [name], design, vartype, df)
+    return summarise(ratios, [*outer, inner], [name], replicates.design, vartype, df)
 
 
 def reposted_totals(
@@ -141,7 +142,7 @@ def reposted_totals(
     sample: DataFrame,
     by: Sequence[str],
     measures: Measures,
-    design: Design,
+    replicates: Replicates,
     rows: str | None = None,
     na_rm: bool = False,
 ) -> DataFrame:
@@ -151,9 +152,9 @@ def reposted_totals(
     rows stands for. The correction is the same for all rows of a post-stratum and
     replicate, so it is applied to totals by domain and post-stratum.
     """
-    post = design.post
-    sizes = replicate_totals(sample, [post], {"_size": F.col(rows) if rows else None})
+    post = replicates.design.post
+    sizes = replicate_totals(sample, [post], {"_size": F.col(rows) if rows else None}, replicates)
     known = sizes.filter("rep = 0").select(post, F.col("_size").alias("_known"))
     corrections = sizes.join(known, post).select(post, "rep", F.try_divide("_known", "_size").alias("_g"))
-    cells = replicate_totals(frame, [*by, post], measures, na_rm).join(corrections, [post, "rep"], "left")
+    cells = replicate_totals(frame, [*by, post], measures, replicates, na_rm).join(corrections, [post, "rep"], "left")
     return cells.groupBy(*by, "rep").agg(*[strict_sum(F.col(n) * F.col("_g")).alias(n) for n in measures])

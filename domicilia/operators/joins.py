@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ class Side:
 
     frame: DataFrame
     bounded: bool
+    rows: pa.Table | None = None
 
     def map(self, change) -> Side:
         """Same side after a step that adds no rows."""
@@ -31,10 +33,10 @@ def bounded_side(frame: DataFrame, limit: int = SIDE_LIMIT) -> Side:
     At most ``limit + 1`` rows reach the driver. If all fit, they become a local
     table that may be broadcast; if not, the distributed frame is kept.
     """
-    rows = frame.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = frame.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return Side(frame, False)
-    return Side(frame.sparkSession.createDataFrame(rows, frame.schema), True)
+    return Side(frame.sparkSession.createDataFrame(rows, frame.schema), True, rows)
 
 
 def attach(big: DataFrame, side: Side, on: Sequence[str], salt_by: Sequence[str], how: str = "left") -> DataFrame:

@@ -47,13 +47,13 @@ def composition_label(heads: DataFrame, legacy: bool = False) -> DataFrame:
 def precarious_class(survey: Survey) -> DataFrame:
     heads = region_name(profile(precarious_kind(survey.dwelling_heads)))
     by = ["RA_nome", "genero", "raca", "job", "domicilio"]
-    return survey_total(heads, by, {"n": None}, survey.design, ["ci"])
+    return survey_total(heads, by, {"n": None}, survey.by_dwelling.replicates, ["ci"])
 
 
 def precarious_table(survey: Survey) -> DataFrame:
     """Both kinds side by side, zero where there are none, and their sum."""
     heads = region_name(precarious_kind(survey.dwelling_heads))
-    totals = survey_total(heads, ["RA_nome", "domicilio"], {"n": None}, survey.design, [])
+    totals = survey_total(heads, ["RA_nome", "domicilio"], {"n": None}, survey.by_dwelling.replicates, [])
     wide = spread(totals.filter(F.col("domicilio").isNotNull()), ["RA_nome"], "domicilio", "n", KINDS, 0.0)
     return wide.withColumn("habitação precária", F.col(KINDS[0]) + F.col(KINDS[1]))
 
@@ -61,19 +61,19 @@ def precarious_table(survey: Survey) -> DataFrame:
 def precarious_null_key_table(survey: Survey) -> DataFrame:
     """As `precarious_table`, with the dwellings of no kind as a column."""
     heads = region_name(precarious_kind(survey.dwelling_heads))
-    totals = survey_total(heads, ["RA_nome", "domicilio"], {"n": None}, survey.design, [])
+    totals = survey_total(heads, ["RA_nome", "domicilio"], {"n": None}, survey.by_dwelling.replicates, [])
     labelled = totals.withColumn("domicilio", F.coalesce("domicilio", F.lit("demais domicílios")))
     return spread(labelled, ["RA_nome"], "domicilio", "n", [*KINDS, "demais domicílios"], 0.0)
 
 
 def precarious_by_region(survey: Survey) -> DataFrame:
     heads = region_name(precarious_kind(survey.dwelling_heads)).filter(F.col("domicilio").isNotNull())
-    return survey_total(heads, ["RA_nome"], {"n": None}, survey.design, ["ci"])
+    return survey_total(heads, ["RA_nome"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
 
 
 def precarious_share(survey: Survey) -> DataFrame:
     heads = region_name(precarious_kind(survey.dwelling_heads))
-    shares = survey_share(heads, ["RA_nome"], "domicilio", survey.design, "pct", ["cv"])
+    shares = survey_share(heads, ["RA_nome"], "domicilio", survey.by_dwelling.replicates, "pct", ["cv"])
     return shares.filter(F.col("domicilio").isNotNull())
 
 
@@ -84,18 +84,18 @@ def precarious_share_table(survey: Survey) -> DataFrame:
 
 def precarious_rollup(survey: Survey) -> DataFrame:
     flags = _flags(["dom_rust", "dom_imp", "habit_prec"])
-    return survey_total(region_name(survey.dwelling_heads), ["RA_nome"], flags, survey.design, ["cv"], codes.TOTAL_LABEL)
+    return survey_total(region_name(survey.dwelling_heads), ["RA_nome"], flags, survey.by_dwelling.replicates, ["cv"], codes.TOTAL_LABEL)
 
 
 def cohabitation_flags(survey: Survey) -> DataFrame:
     heads = region_name(profile(survey.dwelling_heads))
     flags = _flags(["fam_conv", "comodo", "cohabit_familiar"])
-    return survey_total(heads, ["RA_nome", "job", "genero", "raca"], flags, survey.design, ["cv"])
+    return survey_total(heads, ["RA_nome", "job", "genero", "raca"], flags, survey.by_dwelling.replicates, ["cv"])
 
 
 def cohabitation_rollup(survey: Survey) -> DataFrame:
     flags = _flags(["fam_conv", "comodo", "cohabit_familiar"])
-    return survey_total(region_name(survey.dwelling_heads), ["RA_nome"], flags, survey.design, ["cv"], codes.TOTAL_LABEL)
+    return survey_total(region_name(survey.dwelling_heads), ["RA_nome"], flags, survey.by_dwelling.replicates, ["cv"], codes.TOTAL_LABEL)
 
 
 def cohabitation_components_long(survey: Survey) -> DataFrame:
@@ -106,12 +106,12 @@ def cohabitation_components_long(survey: Survey) -> DataFrame:
 
 def cohabitation_class(survey: Survey) -> DataFrame:
     heads = region_name(cohabitation_kind(survey.dwelling_heads))
-    return survey_total(heads, ["RA_nome", "situacao"], {"n": None}, survey.design, ["ci"])
+    return survey_total(heads, ["RA_nome", "situacao"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
 
 
 def cohabitation_share(survey: Survey) -> DataFrame:
     heads = region_name(cohabitation_kind(survey.dwelling_heads))
-    shares = survey_share(heads, ["RA_nome"], "situacao", survey.design, "pct", ["cv"])
+    shares = survey_share(heads, ["RA_nome"], "situacao", survey.by_dwelling.replicates, "pct", ["cv"])
     return shares.filter(F.col("situacao") != codes.OTHER)
 
 
@@ -128,40 +128,40 @@ def rent_base(survey: Survey) -> DataFrame:
 
 def rent_burden(survey: Survey) -> DataFrame:
     return survey_total(
-        rent_base(survey), ["RA_nome"], _flags(["onus_aluguel"]), survey.design, ["cv"], codes.TOTAL_LABEL
+        rent_base(survey), ["RA_nome"], _flags(["onus_aluguel"]), survey.by_dwelling.replicates, ["cv"], codes.TOTAL_LABEL
     )
 
 
 def rent_burden_share(survey: Survey) -> DataFrame:
     """Burdened share of the low-income dwellings, and of all dwellings."""
-    among = survey_share(rent_base(survey), ["RA_nome"], "onus_aluguel", survey.design, "pct_renda_baixa", ["cv"])
+    among = survey_share(rent_base(survey), ["RA_nome"], "onus_aluguel", survey.by_dwelling.replicates, "pct_renda_baixa", ["cv"])
     burdened = among.filter(F.col("onus_aluguel") == 1).drop("onus_aluguel")
     whole = survey_mean(
-        region_name(survey.heads), ["RA_nome"], {"pct_domicilios": F.col("onus_aluguel")}, survey.design, ["cv"]
+        region_name(survey.heads), ["RA_nome"], {"pct_domicilios": F.col("onus_aluguel")}, survey.by_dwelling.replicates, ["cv"]
     )
     return null_safe_left_join(whole, burdened, ["RA_nome"])
 
 
 def rent_burden_table(survey: Survey) -> DataFrame:
-    totals = survey_total(rent_base(survey), ["RA_nome", "onus_aluguel"], {"n": None}, survey.design, [])
+    totals = survey_total(rent_base(survey), ["RA_nome", "onus_aluguel"], {"n": None}, survey.by_dwelling.replicates, [])
     wide = spread(totals, ["RA_nome"], "onus_aluguel", "n", [0, 1], 0.0)
     return wide.withColumnsRenamed({"0": "sem ônus", "1": "ônus excessivo"})
 
 
 def overcrowding(survey: Survey) -> DataFrame:
     return survey_total(
-        region_name(survey.dwelling_heads), ["RA_nome"], _flags(["adens"]), survey.design, ["cv"], codes.TOTAL_LABEL
+        region_name(survey.dwelling_heads), ["RA_nome"], _flags(["adens"]), survey.by_dwelling.replicates, ["cv"], codes.TOTAL_LABEL
     )
 
 
 def overcrowding_share(survey: Survey) -> DataFrame:
-    shares = survey_share(region_name(survey.dwelling_heads), ["RA_nome"], "adens", survey.design, "pct", ["cv"])
+    shares = survey_share(region_name(survey.dwelling_heads), ["RA_nome"], "adens", survey.by_dwelling.replicates, "pct", ["cv"])
     return shares.filter(F.col("adens") == 1)
 
 
 def overcrowding_table(survey: Survey) -> DataFrame:
     heads = region_name(survey.dwelling_heads)
-    totals = survey_total(heads, ["RA_nome", "adens"], {"n": None}, survey.design, [])
+    totals = survey_total(heads, ["RA_nome", "adens"], {"n": None}, survey.by_dwelling.replicates, [])
     wide = spread(totals, ["RA_nome"], "adens", "n", [0, 1], 0.0)
     return wide.withColumnsRenamed({"0": "sem adensamento", "1": "adensamento excessivo"})
 
@@ -169,24 +169,24 @@ def overcrowding_table(survey: Survey) -> DataFrame:
 def deficit_total(survey: Survey) -> DataFrame:
     """Dwellings in any of the four situations, by region and in all."""
     return survey_total(
-        region_name(survey.heads), ["RA_nome"], _flags(["deficit_habit"]), survey.design, ["se", "cv", "ci"], codes.TOTAL_LABEL
+        region_name(survey.heads), ["RA_nome"], _flags(["deficit_habit"]), survey.by_dwelling.replicates, ["se", "cv", "ci"], codes.TOTAL_LABEL
     )
 
 
 def deficit_rate(survey: Survey) -> DataFrame:
     return survey_mean(
-        region_name(survey.heads), ["RA_nome"], _flags(["deficit_habit"]), survey.design, ["cv"], codes.TOTAL_LABEL
+        region_name(survey.heads), ["RA_nome"], _flags(["deficit_habit"]), survey.by_dwelling.replicates, ["cv"], codes.TOTAL_LABEL
     )
 
 
 def deficit_share(survey: Survey) -> DataFrame:
     """The rate as the share of a two-way table."""
-    return survey_share(region_name(survey.heads), ["RA_nome"], "deficit_habit", survey.design, "n", ["cv"])
+    return survey_share(region_name(survey.heads), ["RA_nome"], "deficit_habit", survey.by_dwelling.replicates, "n", ["cv"])
 
 
 def deficit_composition(survey: Survey, legacy: bool = False) -> DataFrame:
     heads = region_name(composition_label(survey.heads, legacy))
-    totals = survey_total(heads, ["RA_nome", "composicao"], {"n": None}, survey.design, ["ci"])
+    totals = survey_total(heads, ["RA_nome", "composicao"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
     return totals.filter(F.col("composicao") != codes.NO_COMPONENT)
 
 
@@ -198,14 +198,14 @@ def composition_table(survey: Survey, legacy: bool = False) -> DataFrame:
 
 def deficit_dominant(survey: Survey) -> DataFrame:
     heads = region_name(composition_label(survey.heads)).withColumn("dominante", dominant(F.col("composicao")))
-    totals = survey_total(heads, ["RA_nome", "dominante"], {"n": None}, survey.design, ["ci"])
+    totals = survey_total(heads, ["RA_nome", "dominante"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
     return totals.filter(F.col("dominante") != codes.NO_DEFICIT)
 
 
 def lot_status(survey: Survey) -> DataFrame:
     """Dwellings in deficit by what their residents say of the lot."""
     heads = region_name(survey.heads).withColumn("lote", lookup(F.col("B06"), codes.LOT_STATUS))
-    totals = survey_total(heads, ["RA_nome", "deficit_habit", "lote"], {"n": None}, survey.design, ["ci"])
+    totals = survey_total(heads, ["RA_nome", "deficit_habit", "lote"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
     return totals.filter(F.col("deficit_habit") == 1)
 
 
@@ -217,7 +217,7 @@ def component_totals(survey: Survey) -> DataFrame:
         "adensamento": F.col("adens"),
         "onus": F.col("onus_aluguel"),
     }
-    return gather(survey_total(survey.heads, [], names, survey.design, ["se"]).select(*names), [], list(names), "comp", "n")
+    return gather(survey_total(survey.heads, [], names, survey.by_dwelling.replicates, ["se"]).select(*names), [], list(names), "comp", "n")
 
 
 def deficit_final_table(survey: Survey) -> DataFrame:
@@ -227,7 +227,7 @@ def deficit_final_table(survey: Survey) -> DataFrame:
     its table is joined, while the others come out of one aggregation.
     """
     flags = _flags(["habit_prec", "adens", "cohabit_familiar"])
-    three = survey_total(region_name(survey.dwelling_heads), ["RA_nome"], flags, survey.design, ["cv"], codes.TOTAL_LABEL)
+    three = survey_total(region_name(survey.dwelling_heads), ["RA_nome"], flags, survey.by_dwelling.replicates, ["cv"], codes.TOTAL_LABEL)
     return null_safe_left_join(three, rent_burden(survey), ["RA_nome"])
 
 
@@ -239,5 +239,5 @@ def deficit_components_long(survey: Survey) -> DataFrame:
 def profile_hierarchy(survey: Survey, component: str) -> DataFrame:
     """Dwellings with a component, by a path of the head's gender, job and race."""
     keys = [component, "genero", "job", "raca"]
-    totals = survey_total(profile(survey.heads), keys, {"n": None}, survey.design, ["ci"]).filter(F.col(component) != 0)
+    totals = survey_total(profile(survey.heads), keys, {"n": None}, survey.by_dwelling.replicates, ["ci"]).filter(F.col(component) != 0)
     return totals.select(path_label([F.col(k) for k in keys]).alias("hierarquia"), "n", "n_low", "n_upp")

@@ -12,14 +12,13 @@ from domicilia.operators.estimate import members_by_psu, survey_total
 from domicilia.plans.deficit import region_name
 from domicilia.plans.survey import Survey, profile
 
-PSU = ["A01setor", "A01nficha"]
-
 
 def adult_totals(survey: Survey) -> DataFrame:
     """People of 24 to 64 with a known income, by age band and headship."""
     adults = survey.people.filter(F.col("renda_individual_real").isNotNull()).filter(F.col("idade_calculada").between(24, 64))
     by = ["faixa_idade", "situacao"]
-    return survey_total(members_by_psu(adults, PSU, by, {"n": None}), by, {"n": F.col("n")}, survey.design, ["ci"])
+    own = members_by_psu(adults, survey.design, by, {"n": None})
+    return survey_total(own, by, {"n": F.col("n")}, survey.by_resident.replicates, ["ci"])
 
 
 def headship_rate(survey: Survey) -> DataFrame:
@@ -43,8 +42,8 @@ def eligible_totals(survey: Survey) -> DataFrame:
         & (F.col("E02") != 2)
         & (F.col("E02") != 3)
     )
-    own = members_by_psu(eligible, PSU, CELL, {"pop": None})
-    return survey_total(own, CELL, {"pop": F.col("pop")}, survey.design, ["ci"])
+    own = members_by_psu(eligible, survey.design, CELL, {"pop": None})
+    return survey_total(own, CELL, {"pop": F.col("pop")}, survey.by_resident.replicates, ["ci"])
 
 
 def dhde_cells(survey: Survey) -> DataFrame:

@@ -38,8 +38,8 @@ def occupied_area_cumulative(areas: DataFrame, years: Sequence[int]) -> DataFram
 def population_by_region(survey: Survey) -> DataFrame:
     """Everybody, by region. Members are counted per dwelling before the replicates."""
     members = survey.counted.groupBy("A01nficha", "A01ra").agg(F.count("*").alias("n"))
-    dwellings = survey.by_resident.select("A01nficha", "w", "reps", "rep_scale")
-    totals = survey_total(members.join(dwellings, "A01nficha"), ["A01ra"], {"n": F.col("n")}, survey.design, ["ci"])
+    dwellings = survey.by_resident.frame.select("A01setor", "A01nficha", "w", "extra")
+    totals = survey_total(members.join(dwellings, "A01nficha"), ["A01ra"], {"n": F.col("n")}, survey.by_resident.replicates, ["ci"])
     return region_name(totals)
 
 
@@ -47,8 +47,8 @@ def dwelling_type_by_region(survey: Survey) -> DataFrame:
     """Dwellings by type, wide, in whole numbers."""
     kind = F.when(member(F.col("B02"), [1, 3, 4]), codes.FLAT).when(F.col("B02") == 2, codes.HOUSE)
     heads = survey.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra")
-    dwellings = survey.by_resident.select("A01nficha", kind.alias("tipo"), "w", "reps", "rep_scale")
-    totals = survey_total(heads.join(dwellings, "A01nficha"), ["A01ra", "tipo"], {"n": None}, survey.design, [])
+    dwellings = survey.by_resident.frame.select("A01setor", "A01nficha", kind.alias("tipo"), "w", "extra")
+    totals = survey_total(heads.join(dwellings, "A01nficha"), ["A01ra", "tipo"], {"n": None}, survey.by_resident.replicates, [])
     return round_numeric(spread(totals, ["A01ra"], "tipo", "n", [codes.FLAT, codes.HOUSE]), 0)
 
 

@@ -219,14 +219,14 @@ def post_stratified(hh: DataFrame) -> DataFrame:
 
 
 def bootstrap_factors(hh: DataFrame) -> DataFrame:
-    return rounded(factors(replicate(hh.select("A01setor", "A01nficha"), DESIGN), DESIGN), 8)
+    return rounded(factors(*replicate(hh.select("A01setor", "A01nficha"), DESIGN)), 8)
 
 
 def bootstrap_lonely_psu(hh: DataFrame) -> DataFrame:
     """A stratum with one PSU keeps factor 1; sums of factors stay at the number of PSUs."""
     own = F.when(F.col("A01nficha") == 0, 1).otherwise(F.col("A01setor"))
     psus = hh.select(own.alias("A01setor"), "A01nficha")
-    rows = factors(replicate(psus, DESIGN), DESIGN)
+    rows = factors(*replicate(psus, DESIGN))
     square = F.col("factor") * F.col("factor")
     return rows.groupBy("A01setor", "rep").agg(
         F.count("*").alias("n_psu"), F.sum("factor").alias("factor_sum"), F.sum(square).alias("factor_squares")
@@ -239,50 +239,50 @@ def _heads(survey: sv.Survey) -> DataFrame:
 
 def survey_domain_total(survey: sv.Survey) -> DataFrame:
     domain = _heads(survey).filter((F.col("B03") == 3) & (F.col("B12") == 0) & (F.col("B06") == 88))
-    return est.survey_total(domain, ["A01setor"], {"n": None}, survey.design, ["se"])
+    return est.survey_total(domain, ["A01setor"], {"n": None}, survey.by_dwelling.replicates, ["se"])
 
 
 def survey_total(survey: sv.Survey) -> DataFrame:
-    return est.survey_total(_heads(survey), ["RA_nome"], {"pessoas": F.col("A01npessoas")}, survey.design, ["se"])
+    return est.survey_total(_heads(survey), ["RA_nome"], {"pessoas": F.col("A01npessoas")}, survey.by_dwelling.replicates, ["se"])
 
 
 def survey_total_kind(survey: sv.Survey, vartype: str) -> DataFrame:
-    return est.survey_total(_heads(survey), ["RA_nome"], {"quartos": F.col("B12")}, survey.design, [vartype])
+    return est.survey_total(_heads(survey), ["RA_nome"], {"quartos": F.col("B12")}, survey.by_dwelling.replicates, [vartype])
 
 
 def survey_total_strict(survey: sv.Survey) -> DataFrame:
     """An unknown rent makes the total unknown; skipped on request."""
     heads = _heads(survey)
-    kept = est.survey_total(heads, ["A01setor", "B08"], {"aluguel": F.col("B05")}, survey.design, ["se"])
-    skipped = est.survey_total(heads, ["A01setor", "B08"], {"aluguel_conhecido": F.col("B05")}, survey.design, ["se"], na_rm=True)
+    kept = est.survey_total(heads, ["A01setor", "B08"], {"aluguel": F.col("B05")}, survey.by_dwelling.replicates, ["se"])
+    skipped = est.survey_total(heads, ["A01setor", "B08"], {"aluguel_conhecido": F.col("B05")}, survey.by_dwelling.replicates, ["se"], na_rm=True)
     return kept.join(skipped, ["A01setor", "B08"])
 
 
 def survey_count(survey: sv.Survey) -> DataFrame:
-    return est.survey_total(_heads(survey), ["RA_nome", "B02"], {"n": None}, survey.design, ["ci"])
+    return est.survey_total(_heads(survey), ["RA_nome", "B02"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
 
 
 def survey_mean(survey: sv.Survey) -> DataFrame:
     measures = {"pessoas": F.col("A01npessoas"), "adens": F.col("adens")}
-    return est.survey_mean(_heads(survey), ["RA_nome"], measures, survey.design, ["se", "cv"])
+    return est.survey_mean(_heads(survey), ["RA_nome"], measures, survey.by_dwelling.replicates, ["se", "cv"])
 
 
 def survey_share(survey: sv.Survey) -> DataFrame:
-    return est.survey_share(_heads(survey), ["RA_nome"], "B02", survey.design, "pct", ["se", "ci"])
+    return est.survey_share(_heads(survey), ["RA_nome"], "B02", survey.by_dwelling.replicates, "pct", ["se", "ci"])
 
 
 def survey_multi(survey: sv.Survey) -> DataFrame:
     measures = {"n": None, "pessoas": F.col("A01npessoas"), "quartos": F.col("B12"), "rust": F.col("dom_rust")}
-    return est.survey_total(_heads(survey), ["RA_nome"], measures, survey.design, ["se", "cv"])
+    return est.survey_total(_heads(survey), ["RA_nome"], measures, survey.by_dwelling.replicates, ["se", "cv"])
 
 
 def survey_rollup(survey: sv.Survey) -> DataFrame:
-    return est.survey_total(_heads(survey), ["RA_nome", "B02"], {"n": None}, survey.design, ["se"], codes.TOTAL_LABEL)
+    return est.survey_total(_heads(survey), ["RA_nome", "B02"], {"n": None}, survey.by_dwelling.replicates, ["se"], codes.TOTAL_LABEL)
 
 
 def survey_repost(survey: sv.Survey) -> DataFrame:
-    heads = deficit.region_name(survey.dwelling_heads)
-    totals = est.reposted_totals(heads, survey.by_dwelling, ["RA_nome"], {"n": None}, survey.design, rows="_rows")
+    sample = survey.by_dwelling
+    totals = est.reposted_totals(_heads(survey), sample.frame, ["RA_nome"], {"n": None}, sample.replicates, rows="_rows")
     return est.summarise(totals, ["RA_nome"], ["n"], survey.design, ["se"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from domicilia.functions import codes
 from domicilia.functions.columns import age_band, flag, income_band, job_status, gender, month_label, race, visit_date
-from domicilia.operators.design import Design, post_stratify, replicate
+from domicilia.operators.design import Design, Replicates, post_stratify, replicate
 from domicilia.plans.income import household_income, individual_income, inflators
 from domicilia.session import materialize
 
@@ -35,6 +36,17 @@ def profile(frame: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Sample:
+    """One row per sampled dwelling, weighted, and the replicates that go with it."""
+
+    frame: DataFrame
+    replicates: Replicates
+
+    def materialize(self) -> Sample:
+        return Sample(materialize(self.frame), self.replicates)
+
+
 class Survey:
     """Dwellings, residents and the price index under one sample design.
 
@@ -62,28 +74,28 @@ class Survey:
         return self.counted.groupBy("A01nficha", "A01ra").agg(F.count("*").alias("_rows"), F.sum(wants).alias("novo_dom"))
 
     @cached_property
-    def by_dwelling(self) -> DataFrame:
+    def by_dwelling(self) -> Sample:
         joined = self.dwellings.join(self.composition, ["A01nficha", "A01ra"], "left")
         rows = joined.withColumn("_rows", F.coalesce("_rows", F.lit(1)))
-        return replicate(post_stratify(rows, self.design, "_rows"), self.design)
+        return Sample(*replicate(post_stratify(rows, self.design, "_rows"), self.design))
 
     @cached_property
-    def by_resident(self) -> DataFrame:
+    def by_resident(self) -> Sample:
         counts = self.counted.groupBy("A01nficha").agg(F.count("*").alias("_rows"))
         joined = self.dwellings.join(counts, "A01nficha")
-        return replicate(post_stratify(joined, self.design, "_rows"), self.design)
+        return Sample(*replicate(post_stratify(joined, self.design, "_rows"), self.design))
 
     def materialize(self) -> Survey:
-        """Fix both weighted frames, when many indicators are to follow."""
-        self.by_dwelling = materialize(self.by_dwelling)
-        self.by_resident = materialize(self.by_resident)
+        """Fix both weighted samples, when many indicators are to follow."""
+        self.by_dwelling = self.by_dwelling.materialize()
+        self.by_resident = self.by_resident.materialize()
         return self
 
     @cached_property
     def heads(self) -> DataFrame:
         """Dwellings that have a head, with the head's answers, weights and the deficit flags."""
         heads = self.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra", *PERSON_CODES)
-        dwellings = with_inflators(self.by_dwelling, self.index)
+        dwellings = with_inflators(self.by_dwelling.frame, self.index)
         return deficit_flags(
             heads.join(dwellings, ["A01nficha", "A01ra"]).join(household_income(self.residents), "A01nficha", "left")
         )
@@ -92,7 +104,7 @@ class Survey:
     def dwelling_heads(self) -> DataFrame:
         """As `heads`, for indicators that need no income."""
         heads = self.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra", *PERSON_CODES)
-        return dwelling_flags(heads.join(self.by_dwelling, ["A01nficha", "A01ra"]))
+        return dwelling_flags(heads.join(self.by_dwelling.frame, ["A01nficha", "A01ra"]))
 
     @cached_property
     def people(self) -> DataFrame:
@@ -100,7 +112,7 @@ class Survey:
         income = self.residents.select(
             "A01nficha", "A01ra", "E02", "idade_calculada", *PERSON_CODES, individual_income().alias("renda_individual")
         )
-        own = self.by_resident.select("A01nficha", "A01setor", "datavisita", "w", "reps", "rep_scale")
+        own = self.by_resident.frame.select("A01nficha", "A01setor", "datavisita", "w", "extra")
         joined = income.join(with_inflators(own, self.index), "A01nficha")
         real = joined.withColumn("renda_individual_real", F.col("renda_individual") * F.col("inflator_geral"))
         return real.withColumns(
