@@ -542,7 +542,7 @@ def _queries() -> dict[str, str]:
             " round(inflator_aluguel, 8) AS inflator_aluguel FROM hm"
         ),
         "join_household_income": (
-            "SELECT hh.A01nficha, A01ra, round(renda_dom, 4) AS renda_dom, pessoas, round(renda_pc, 4) AS renda_pc"
+            "SELECT hh.A01nficha, A01ra, round(renda_dom, 8) AS renda_dom, pessoas, round(renda_pc, 8) AS renda_pc"
             " FROM hh LEFT JOIN renda ON renda.A01nficha = hh.A01nficha"
         ),
         "join_null_safe_natural": (
@@ -641,7 +641,7 @@ def _queries() -> dict[str, str]:
             + ", ".join(f"round({sql}, 4) AS {c}_M" for c, sql in _PERSONAL.items())
             + f", round({_INDIVIDUAL}, 4) AS renda_individual FROM pes"
         ),
-        "income_household": "SELECT A01nficha, round(renda_dom, 4) AS renda_dom, pessoas, round(renda_pc, 4) AS renda_pc FROM renda",
+        "income_household": "SELECT A01nficha, round(renda_dom, 8) AS renda_dom, pessoas, round(renda_pc, 8) AS renda_pc FROM renda",
         "price_inflator": "SELECT classe, mes, round(inflator, 8) AS inflator FROM infl",
         "real_income": (
             f"SELECT A01nficha, round(renda, 4) AS renda, round(renda * inflator_geral, 4) AS renda_real FROM"

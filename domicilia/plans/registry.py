@@ -45,12 +45,12 @@ def _indicator(build: Callable[..., DataFrame], digits: int = 4, **options) -> Q
     return lambda spark, sf_dir: rounded(build(open_survey(spark, sf_dir), **options), digits)
 
 
-def _dwelling_query(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: rounded(build(standin.dwellings(spark, sf_dir)))
+def _dwelling_query(build: Callable[[DataFrame], DataFrame], digits: int = 4) -> Query:
+    return lambda spark, sf_dir: rounded(build(standin.dwellings(spark, sf_dir)), digits)
 
 
-def _resident_query(build: Callable[[DataFrame], DataFrame], relation: bool = True) -> Query:
-    return lambda spark, sf_dir: rounded(build(standin.residents(spark, sf_dir, relation)))
+def _resident_query(build: Callable[[DataFrame], DataFrame], relation: bool = True, digits: int = 4) -> Query:
+    return lambda spark, sf_dir: rounded(build(standin.residents(spark, sf_dir, relation)), digits)
 
 
 def _index_query(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -146,7 +146,7 @@ def join_inflator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_household_income(spark: SparkSession, sf_dir: str) -> DataFrame:
     hh = standin.dwellings(spark, sf_dir).select("A01nficha", "A01ra")
-    return rounded(hh.join(income.household_income(standin.residents(spark, sf_dir)), "A01nficha", "left"))
+    return rounded(hh.join(income.household_income(standin.residents(spark, sf_dir)), "A01nficha", "left"), 8)
 
 
 def join_null_safe_natural(pes: DataFrame) -> DataFrame:
@@ -215,11 +215,11 @@ def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def post_stratified(hh: DataFrame) -> DataFrame:
-    return rounded(post_stratify(hh, DESIGN).select("A01nficha", "POS_ESTRATO", "w"), 6)
+    return post_stratify(hh, DESIGN).select("A01nficha", "POS_ESTRATO", "w")
 
 
 def bootstrap_factors(hh: DataFrame) -> DataFrame:
-    return rounded(factors(*replicate(hh.select("A01setor", "A01nficha"), DESIGN)), 8)
+    return factors(*replicate(hh.select("A01setor", "A01nficha"), DESIGN))
 
 
 def bootstrap_lonely_psu(hh: DataFrame) -> DataFrame:
@@ -384,8 +384,8 @@ QUERIES: dict[str, Query] = {
     "polygon_centroid": lambda spark, sf_dir: rounded(centroids(standin.lot_vertices(spark, sf_dir))),
     # sample design and estimation
     "design_summary": _dwelling_query(lambda hh: design_summary(hh, DESIGN)),
-    "post_stratify": _dwelling_query(post_stratified),
-    "bootstrap_factors": _dwelling_query(bootstrap_factors),
+    "post_stratify": _dwelling_query(post_stratified, 6),
+    "bootstrap_factors": _dwelling_query(bootstrap_factors, 8),
     "bootstrap_lonely_psu": _dwelling_query(bootstrap_lonely_psu),
     "survey_domain_total": _indicator(survey_domain_total),
     "survey_total": _indicator(survey_total),
@@ -401,7 +401,7 @@ QUERIES: dict[str, Query] = {
     "survey_repost": _indicator(survey_repost),
     # income, prices, groups
     "income_individual": _resident_query(income_individual),
-    "income_household": _resident_query(income.household_income),
+    "income_household": _resident_query(income.household_income, digits=8),
     "price_inflator": _index_query(income.price_inflator),
     "real_income": real_income,
     "profile_gender_race": _resident_query(profile_gender_race, relation=False),
