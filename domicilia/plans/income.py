@@ -57,11 +57,10 @@ def index_periods(index: DataFrame) -> DataFrame:
     )
 
 
-def running_product(index: DataFrame, descending: bool = True) -> DataFrame:
-    """Product of the monthly changes, from the last period back or from the first on."""
-    order = F.col("ref").desc() if descending else F.col("ref").asc()
+def running_product(index: DataFrame) -> DataFrame:
+    """Product of the monthly changes of each class, from the last period back."""
     change = F.col("valor") / 100 + 1
-    return index.withColumn("produto", running(change, ["classe"], order, "product"))
+    return index.withColumn("produto", running(change, ["classe"], F.col("ref").desc(), "product"))
 
 
 def price_inflator(index: DataFrame, first: str = "201803", reference: str = "201807", last: str = "201810") -> DataFrame:
@@ -69,14 +68,16 @@ def price_inflator(index: DataFrame, first: str = "201803", reference: str = "20
 
     Months before the reference multiply the changes from the reference back to
     them, later ones divide by the changes from the reference on; the reference's
-    own change takes part in both, and its factor is 1.
+    own change takes part in both, and its factor is 1. The reference is a row of
+    either side, so the index is read once.
     """
-    periods = index_periods(index)
-    before = running_product(periods.filter(F.col("ref").between(first, reference)), descending=True)
-    after = running_product(periods.filter(F.col("ref").between(reference, last)), descending=False)
-    both = before.withColumn("inflator", F.col("produto")).unionByName(after.withColumn("inflator", 1 / F.col("produto")))
-    at_reference = F.when(F.col("ref") == reference, F.lit(1.0)).otherwise(F.col("inflator"))
-    return both.select("classe", "mes", at_reference.alias("inflator")).distinct()
+    ref = F.col("ref")
+    sides = F.array(F.when(ref <= reference, F.lit("before")), F.when(ref >= reference, F.lit("after")))
+    periods = index_periods(index.filter(ref.between(first, last))).withColumn("_side", F.explode(F.array_compact(sides)))
+    away = F.when(F.col("_side") == "before", -ref.cast("int")).otherwise(ref.cast("int"))
+    product = running(F.col("valor") / 100 + 1, ["classe", "_side"], away, "product")
+    factor = F.when(ref == reference, 1.0).when(F.col("_side") == "before", F.col("_product")).otherwise(1 / F.col("_product"))
+    return periods.withColumn("_product", product).select("classe", "mes", factor.alias("inflator")).distinct()
 
 
 def inflators(index: DataFrame, classes: Sequence[int] = (codes.GENERAL_INDEX, codes.RENT_INDEX)) -> DataFrame:

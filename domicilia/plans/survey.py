@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from domicilia.functions import codes
 from domicilia.functions.columns import age_band, flag, income_band, job_status, gender, month_label, race, visit_date
 from domicilia.operators.design import Design, Replicates, post_stratify, replicate
+from domicilia.operators.joins import attach, bounded_side
 from domicilia.plans.income import household_income, individual_income, inflators
 from domicilia.session import materialize
 
@@ -22,8 +23,8 @@ def with_month(dwellings: DataFrame) -> DataFrame:
 
 
 def with_inflators(dwellings: DataFrame, index: DataFrame) -> DataFrame:
-    """Factors of the visit month. The factor table has one row per month, twelve at most."""
-    return with_month(dwellings).join(F.broadcast(inflators(index)), "mes", "left")
+    """Factors of the visit month, fetched first: one row per month, unless the index is odd."""
+    return attach(with_month(dwellings), bounded_side(inflators(index)), ["mes"], ["A01nficha"])
 
 
 def profile(frame: DataFrame) -> DataFrame:
