@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from domicilia.operators.joins import hot_keys, join_to_unique
+
 
 def strict_sum(value: Column, where: Column | None = None) -> Column:
     """Sum that is NULL as soon as one value of the group is NULL."""
@@ -41,10 +43,10 @@ def partition_sum(frame: DataFrame, value: Column, by: Sequence[str], name: str)
     """Group sum on every row of the group.
 
     Aggregated first and joined back, so that a hot group is combined before the
-    shuffle and its rows can be split, which a window would not allow.
+    shuffle and its rows need not meet in one task, as they would in a window.
     """
     sums = frame.groupBy(*by).agg(F.sum(value).alias(name))
-    return frame.join(sums, list(by), "left")
+    return join_to_unique(frame, sums, by, "left", hot_keys(frame, by))
 
 
 def rank_groups(frame: DataFrame, group: str, statistic: Column, name: str = "rank") -> DataFrame:

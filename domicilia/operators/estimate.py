@@ -21,19 +21,6 @@ from domicilia.operators.joins import null_safe_left_join
 Measures = Mapping[str, Column | None]
 
 
-def members_by_psu(frame: DataFrame, design: Design, by: Sequence[str], measures: Measures) -> DataFrame:
-    """Sum the members of a PSU before its replicates are unfolded.
-
-    Worth it where PSUs have many rows. Measures become the PSU's own totals.
-    """
-    sums = [
-        (F.count("*") if value is None else strict_sum(value.cast("double"))).alias(name)
-        for name, value in measures.items()
-    ]
-    keys = dict.fromkeys([design.stratum, design.psu, "w", "extra", *by])
-    return frame.groupBy(*keys).agg(*sums)
-
-
 def replicate_totals(
     frame: DataFrame, by: Sequence[str], measures: Measures, replicates: Replicates, na_rm: bool = False
 ) -> DataFrame:

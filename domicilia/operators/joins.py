@@ -1,4 +1,4 @@
-"""Joins: checked broadcast, skew-safe left join, NULL-safe natural join."""
+"""Joins: checked broadcast, hot keys, NULL-safe keys."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SIDE_LIMIT = 200_000
 SALTS = 64
+HOT_ROWS = 500_000
+HOT_FRACTION = 0.01
 
 
 @dataclass(frozen=True)
@@ -54,15 +56,48 @@ def attach(big: DataFrame, side: Side, on: Sequence[str], salt_by: Sequence[str]
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def left_join_spread(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join whose right side may have hot keys.
+def hot_keys(
+    frame: DataFrame, on: Sequence[str], rows: int | None = None, fraction: float | None = None, limit: int = SIDE_LIMIT
+) -> DataFrame | None:
+    """Keys held by more than about `rows` rows, as a local table; None if there are none.
 
-    A left outer join cannot split a hot key of its right side at run time, an
-    inner join can. So the matches come from an inner join, and the left rows
-    without a partner from an anti join against the distinct keys.
+    Judged from a sample. It only decides how rows travel in a join, never which rows
+    take part, so a key missed or listed without need costs time, not results.
+    """
+    rows, fraction = rows or HOT_ROWS, fraction or HOT_FRACTION
+    sample = frame.select(*on).sample(fraction, 1) if fraction < 1 else frame.select(*on)
+    counts = sample.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows * fraction)
+    side = bounded_side(counts.drop("_n").na.drop(), limit)
+    return side.frame if side.rows is not None and side.rows.num_rows else None
+
+
+def join_to_unique(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot: DataFrame | None = None
+) -> DataFrame:
+    """Join many rows per key to one row per key of `right`, by left or inner join.
+
+    Rows of the `hot` keys (see `hot_keys`, on some or all of the join columns) stay
+    where they are and meet their few partners by broadcast. All other rows are
+    shuffled. The engine's own splitting of skewed partitions does not help here: it
+    needs both sides to come straight from a shuffle, not from an aggregation.
+    """
+    on = list(on)
+    if hot is None:
+        return left.join(right, on, how)
+    keys, hot_on = F.broadcast(hot), hot.columns
+    cold = left.join(keys, hot_on, "left_anti").join(right, on, how)
+    partners = right.join(keys, hot_on, "left_semi")
+    return cold.unionByName(left.join(keys, hot_on, "left_semi").join(F.broadcast(partners), on, how))
+
+
+def left_join_fan_out(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None = None) -> DataFrame:
+    """Left join of one row per key to many; `hot` names the hot keys of `right`.
+
+    The matches are found from the side of the many, then the rows without a partner
+    are added.
     """
     on = list(on)
-    matched = left.join(right, on)
+    matched = join_to_unique(right, left, on, "inner", hot)
     alone = left.join(right.select(*on).distinct(), on, "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from domicilia.functions import codes
 from domicilia.functions.columns import demand_class
 from domicilia.operators.aggregates import complete, spread, strict_sum
-from domicilia.operators.estimate import members_by_psu, survey_total
+from domicilia.operators.estimate import survey_total
 from domicilia.plans.deficit import region_name
 from domicilia.plans.survey import Survey, profile
 
@@ -16,9 +16,7 @@ from domicilia.plans.survey import Survey, profile
 def adult_totals(survey: Survey) -> DataFrame:
     """People of 24 to 64 with a known income, by age band and headship."""
     adults = survey.people.filter(F.col("renda_individual_real").isNotNull()).filter(F.col("idade_calculada").between(24, 64))
-    by = ["faixa_idade", "situacao"]
-    own = members_by_psu(adults, survey.design, by, {"n": None})
-    return survey_total(own, by, {"n": F.col("n")}, survey.by_resident.replicates, ["ci"])
+    return survey_total(adults, ["faixa_idade", "situacao"], {"n": None}, survey.by_resident.replicates, ["ci"])
 
 
 def headship_rate(survey: Survey) -> DataFrame:
@@ -42,8 +40,7 @@ def eligible_totals(survey: Survey) -> DataFrame:
         & (F.col("E02") != 2)
         & (F.col("E02") != 3)
     )
-    own = members_by_psu(eligible, survey.design, CELL, {"pop": None})
-    return survey_total(own, CELL, {"pop": F.col("pop")}, survey.by_resident.replicates, ["ci"])
+    return survey_total(eligible, CELL, {"pop": None}, survey.by_resident.replicates, ["ci"])
 
 
 def dhde_cells(survey: Survey) -> DataFrame:

@@ -11,6 +11,7 @@ from domicilia.functions import codes
 from domicilia.functions.columns import member, split_two
 from domicilia.operators.aggregates import complete, round_numeric, running, spread
 from domicilia.operators.estimate import survey_total
+from domicilia.operators.joins import join_to_unique
 from domicilia.plans.deficit import region_name
 from domicilia.plans.survey import Survey
 
@@ -48,7 +49,8 @@ def dwelling_type_by_region(survey: Survey) -> DataFrame:
     kind = F.when(member(F.col("B02"), [1, 3, 4]), codes.FLAT).when(F.col("B02") == 2, codes.HOUSE)
     heads = survey.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra")
     dwellings = survey.by_resident.frame.select("A01setor", "A01nficha", kind.alias("tipo"), "w", "extra")
-    totals = survey_total(heads.join(dwellings, "A01nficha"), ["A01ra", "tipo"], {"n": None}, survey.by_resident.replicates, [])
+    joined = join_to_unique(heads, dwellings, ["A01nficha"], "inner", survey.hot)
+    totals = survey_total(joined, ["A01ra", "tipo"], {"n": None}, survey.by_resident.replicates, [])
     return round_numeric(spread(totals, ["A01ra"], "tipo", "n", [codes.FLAT, codes.HOUSE]), 0)
 
 

@@ -130,12 +130,15 @@ HOUSEHOLD = ["B01", "B02", "POS_ESTRATO"]
 def join_person_household(spark: SparkSession, sf_dir: str) -> DataFrame:
     hh = standin.dwellings(spark, sf_dir).drop("A01ra", "FATOR_PROJ")
     pes = standin.residents(spark, sf_dir)
-    return pes.join(hh, "A01nficha", "left").select("A01nficha", "A01ra", "E02", "idade_calculada", "FATOR_PROJ", *HOUSEHOLD)
+    hot = joins.hot_keys(standin.residents(spark, sf_dir, relation=False), ["A01nficha"])
+    joined = joins.join_to_unique(pes, hh, ["A01nficha"], "left", hot)
+    return joined.select("A01nficha", "A01ra", "E02", "idade_calculada", "FATOR_PROJ", *HOUSEHOLD)
 
 
 def join_household_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     hh, pes = standin.dwellings(spark, sf_dir), standin.residents(spark, sf_dir, relation=False).drop("FATOR_PROJ")
-    joined = joins.left_join_spread(hh, pes, ["A01nficha", "A01ra"])
+    hot = joins.hot_keys(pes, ["A01nficha", "A01ra"])
+    joined = joins.left_join_fan_out(hh, pes, ["A01nficha", "A01ra"], hot)
     return joined.select("A01nficha", "A01ra", *HOUSEHOLD, "FATOR_PROJ", "idade_calculada", "E21")
 
 
@@ -158,7 +161,8 @@ def join_null_safe_natural(pes: DataFrame) -> DataFrame:
 def real_income(spark: SparkSession, sf_dir: str) -> DataFrame:
     hh = sv.with_inflators(standin.dwellings(spark, sf_dir), standin.price_index(spark, sf_dir))
     pes = standin.residents(spark, sf_dir, relation=False).select("A01nficha", income.individual_income().alias("renda"))
-    joined = pes.join(hh.select("A01nficha", "inflator_geral"), "A01nficha", "left")
+    hot = joins.hot_keys(pes, ["A01nficha"])
+    joined = joins.join_to_unique(pes, hh.select("A01nficha", "inflator_geral"), ["A01nficha"], "left", hot)
     return rounded(joined.withColumn("renda_real", F.col("renda") * F.col("inflator_geral")).drop("inflator_geral"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from domicilia.functions import codes
 from domicilia.functions.columns import age_band, flag, income_band, job_status, gender, month_label, race, visit_date
 from domicilia.operators.design import Design, Replicates, post_stratify, replicate
-from domicilia.operators.joins import attach, bounded_side
+from domicilia.operators.joins import attach, bounded_side, hot_keys, join_to_unique
 from domicilia.plans.income import household_income, individual_income, inflators
 from domicilia.session import materialize
 
@@ -92,20 +92,26 @@ class Survey:
         self.by_resident = self.by_resident.materialize()
         return self
 
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        """Dwellings that hold very many resident rows, if any."""
+        return hot_keys(self.counted, ["A01nficha"])
+
+    def _with_head(self, dwellings: DataFrame) -> DataFrame:
+        heads = self.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra", *PERSON_CODES)
+        return join_to_unique(heads, dwellings, ["A01nficha", "A01ra"], "inner", self.hot)
+
     @cached_property
     def heads(self) -> DataFrame:
         """Dwellings that have a head, with the head's answers, weights and the deficit flags."""
-        heads = self.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra", *PERSON_CODES)
-        dwellings = with_inflators(self.by_dwelling.frame, self.index)
-        return deficit_flags(
-            heads.join(dwellings, ["A01nficha", "A01ra"]).join(household_income(self.residents), "A01nficha", "left")
-        )
+        income = household_income(self.residents)
+        dwellings = with_inflators(self.by_dwelling.frame, self.index).join(income, "A01nficha", "left")
+        return deficit_flags(self._with_head(dwellings))
 
     @cached_property
     def dwelling_heads(self) -> DataFrame:
         """As `heads`, for indicators that need no income."""
-        heads = self.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra", *PERSON_CODES)
-        return dwelling_flags(heads.join(self.by_dwelling.frame, ["A01nficha", "A01ra"]))
+        return dwelling_flags(self._with_head(self.by_dwelling.frame))
 
     @cached_property
     def people(self) -> DataFrame:
@@ -114,7 +120,7 @@ class Survey:
             "A01nficha", "A01ra", "E02", "idade_calculada", *PERSON_CODES, individual_income().alias("renda_individual")
         )
         own = self.by_resident.frame.select("A01nficha", "A01setor", "datavisita", "w", "extra")
-        joined = income.join(with_inflators(own, self.index), "A01nficha")
+        joined = join_to_unique(income, with_inflators(own, self.index), ["A01nficha"], "inner", self.hot)
         real = joined.withColumn("renda_individual_real", F.col("renda_individual") * F.col("inflator_geral"))
         return real.withColumns(
             {

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domicilia.functions import codes
+from domicilia.functions.columns import lookup
+from domicilia.operators.joins import hot_keys, join_to_unique
+
 REGION_OF_ORDER = "cast(1 + {key} % 33 as int)"
 
 # Dwellings: orders with their customers.
@@ -94,10 +98,9 @@ def residents(spark: SparkSession, sf_dir: str, relation: bool = True) -> DataFr
     lines = _table(spark, sf_dir, "lineitem")
     if not relation:
         return lines.select(*_named(RESIDENT))
-    first = lines.groupBy(F.col("l_orderkey").alias("_order")).agg(F.min(F.struct(*RESIDENT_ORDER)).alias("_first"))
-    marked = lines.join(first, F.col("l_orderkey") == F.col("_order")).withColumn(
-        "head", F.struct(*RESIDENT_ORDER) == F.col("_first")
-    )
+    first = lines.groupBy("l_orderkey").agg(F.min(F.struct(*RESIDENT_ORDER)).alias("_first"))
+    joined = join_to_unique(lines, first, ["l_orderkey"], "inner", hot_keys(lines, ["l_orderkey"]))
+    marked = joined.withColumn("head", F.struct(*RESIDENT_ORDER) == F.col("_first"))
     return marked.select(*_named({**RESIDENT, **RELATION}))
 
 
@@ -108,9 +111,6 @@ INDEX_RENT = "round(avg(o_totalprice) / 1000000 + 0.02 * month(o_orderdate), 2)"
 
 def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index extract for March to October: (classe, ref, ref1, valor)."""
-    from domicilia.functions import codes
-    from domicilia.functions.columns import lookup
-
     parts = []
     for table, date, value, classe in (
         ("lineitem", "l_shipdate", INDEX_GENERAL, codes.GENERAL_INDEX),
@@ -145,9 +145,6 @@ def occupied_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region polygons: code, prefixed code, label as drawn on the map, number, area."""
-    from domicilia.functions import codes
-    from domicilia.functions.columns import lookup
-
     drawn = {label: raw for raw, label in codes.POLYGON_LABELS.items()}
     grouped = _table(spark, sf_dir, "orders").groupBy(F.expr(DWELLING["A01ra"]).alias("ra_cira")).agg(
         (1000.0 + F.count("*") % 1000).alias("area")

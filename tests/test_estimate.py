@@ -102,16 +102,6 @@ def test_unknown_values(sample):
     assert all(r["f"] is not None for r in known.collect())
 
 
-def test_members_summed_first(sample):
-    """Members unfolded one by one and summed per PSU first give the same."""
-    members = sample[0].withColumn("m", F.explode(F.sequence(F.lit(0), F.col("psu").cast("int") % 4)))
-    kept = members.withColumn("kind", F.col("m") % 2)
-    direct = e.survey_total(kept, ["kind"], {"n": None}, sample[1], ALL).toPandas().set_index("kind").sort_index()
-    summed = e.members_by_psu(kept, DESIGN, ["kind"], {"n": None})
-    first = e.survey_total(summed, ["kind"], {"n": F.col("n")}, sample[1], ALL).toPandas().set_index("kind").sort_index()
-    assert np.allclose(direct.to_numpy(), first[direct.columns].to_numpy())
-
-
 def test_reposted_replicates_meet_the_population(sample):
     frame, replicates = sample
     totals = e.reposted_totals(frame, frame, ["post"], {"n": None}, replicates).collect()

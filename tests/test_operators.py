@@ -31,10 +31,42 @@ def test_natural_join_counts_equal_rows(spark):
     assert rows(joins.natural_join_counts(left, right)) == [(1, None, 7.0, 4), (2, 5, None, 1)]
 
 
-def test_left_join_spread_equals_left_join(spark):
+def test_fan_out_equals_left_join(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, x string")
     right = spark.createDataFrame([(1, i) for i in range(50)] + [(3, 0), (None, 9)], "k int, y int")
-    assert rows(joins.left_join_spread(left, right, ["k"])) == rows(left.join(right, "k", "left"))
+    hot = joins.hot_keys(right, ["k"], 10, 1.0)
+    for keys in (None, hot):
+        got = joins.left_join_fan_out(left, right, ["k"], keys).select("k", "x", "y")
+        assert rows(got) == rows(left.join(right, "k", "left").select("k", "x", "y"))
+
+
+def test_hot_keys(spark):
+    frame = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    assert [r[0] for r in joins.hot_keys(frame, ["k"], 10_000).collect()] == [7]
+    assert joins.hot_keys(frame, ["k"], 50_000) is None
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_keys_are_joined_whole_without_meeting_in_one_task(spark, how):
+    left = spark.range(0, 9000, 1, 8).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    right = spark.range(0, 9000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    right = right.unionByName(spark.createDataFrame([(7, -1), (None, -2)], "k long, v long"))
+    hot = joins.hot_keys(left, ["k"], 100, 1.0)
+    got = joins.join_to_unique(left, right, ["k"], how, hot)
+    assert rows(got) == rows(left.join(right, "k", how))
+    sizes = got.filter("k = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 8
+
+
+def test_partition_sum_equals_window(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    frame = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
+    expected = rows(frame.withColumn("s", F.sum("id").over(Window.partitionBy("k"))).select("k", "id", "s"))
+    assert rows(agg.partition_sum(frame, F.col("id"), ["k"], "s").select("k", "id", "s")) == expected
+    monkeypatch.setattr(joins, "HOT_ROWS", 500)
+    monkeypatch.setattr(joins, "HOT_FRACTION", 1.0)
+    assert rows(agg.partition_sum(frame, F.col("id"), ["k"], "s").select("k", "id", "s")) == expected
 
 
 def test_attach_beyond_the_bound(spark):
