@@ -104,12 +104,16 @@ def _with_counts(frame: DataFrame, design: Design) -> DataFrame:
     52-bit number hashed from seed, stratum, PSU and replicate. Everything runs in
     generated code; a digest is taken once per row, not per replicate.
     """
+    halves = "array(substring(_md5, 1, 8), substring(_md5, 9, 8))"
     digested = frame.withColumn("_md5", F.expr(_digest(design, f"`{design.psu}`")))
-    keyed = digested.withColumns({"_a": F.expr(_hex("_md5", 1, 8)), "_b": F.expr(_hex("_md5", 9, 8))})
-    unfolded = keyed.drop("_md5").withColumn("rep", F.expr(f"explode(sequence(0, {design.replicates}))"))
-    moved = unfolded.withColumn("_a", F.expr(f"(_a + rep * {_STRIDE}L) & {_WORD}L"))
-    stirred = _stir(_stir(moved, "_a").withColumn("_b", F.expr("_a ^ _b")), "_b")
-    uniform = stirred.withColumn("_u", F.expr(f"(_a * {2**20}L + shiftright(_b, 12)) / {2.0**52}D")).drop("_a", "_b")
+    # A lambda ends the stretch of generated code before it. Without it, this and every
+    # other column of the row would be evaluated anew inside the loop over replicates.
+    keyed = digested.withColumn("_words", F.expr(f"transform({halves}, h -> {_hex('h', 1, 8)})")).drop("_md5")
+    unfolded = keyed.withColumn("rep", F.expr(f"explode(sequence(0, {design.replicates}))"))
+    moved = unfolded.withColumn("_a", F.expr(f"(get(_words, 0) + rep * {_STRIDE}L) & {_WORD}L"))
+    stirred = _stir(_stir(moved, "_a").withColumn("_b", F.expr("_a ^ get(_words, 1)")), "_b")
+    uniform = stirred.withColumn("_u", F.expr(f"(_a * {2**20}L + shiftright(_b, 12)) / {2.0**52}D"))
+    uniform = uniform.drop("_words", "_a", "_b")
     arms = " ".join(f"when _u < get(_steps, {k}) then {k}" for k in range(_POISSON_TERMS))
     return uniform.withColumn("_k", F.expr(f"case {arms} else {_POISSON_TERMS} end")).drop("_u")
 

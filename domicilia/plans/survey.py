@@ -87,9 +87,11 @@ class Survey:
         return Sample(*replicate(post_stratify(joined, self.design, "_rows"), self.design))
 
     def materialize(self) -> Survey:
-        """Fix both weighted samples, when many indicators are to follow."""
+        """Store the tables that all indicators start from, when many are to follow."""
         self.by_dwelling = self.by_dwelling.materialize()
         self.by_resident = self.by_resident.materialize()
+        self.heads = self.dwelling_heads = materialize(self.heads)
+        self.people = materialize(self.people)
         return self
 
     @cached_property

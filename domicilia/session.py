@@ -1,8 +1,9 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults and stored intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and go on from there.
+    """Write `df` as a table in the shared checkpoint folder and go on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a
+    The table outlives lost executors, and later steps read only the columns they
+    need. The folder is the one the session names in ``spark.checkpoint.dir``; a
     temporary one is used only where none is set, as in tests.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="domicilia-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
