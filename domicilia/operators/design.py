@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domicilia.operators.joins import SIDE_LIMIT, Side, attach, bounded_side
+from domicilia.session import materialize
 
 # Poisson counts above this have a probability below double precision (rate <= 1).
 _POISSON_TERMS = 18
@@ -15,6 +16,8 @@ _POISSON_TERMS = 18
 _WORD, _MULTIPLIER, _STRIDE = 0xFFFFFFFF, 0x45D9F3B, 0x9E3779B1
 _DRAW_CHUNK = 4096
 _DRAWS_PER_TASK = 500_000
+# A stratum's row holds arrays, so fewer of them count as small.
+_STRATUM_ROW = 10
 
 
 @dataclass(frozen=True)
@@ -231,10 +234,9 @@ def replicate(psus: DataFrame, design: Design) -> tuple[DataFrame, Replicates]:
         attach(psus.select(design.stratum, design.psu), strata, [design.stratum], [design.psu]), design
     )
     fills = _fills(counts, design)
-    if sizes.bounded:
-        strata = bounded_side(strata.frame.join(fills, design.stratum), design.side_limit)
-    else:
-        strata = Side(strata.frame.join(fills, design.stratum), False)
+    strata = bounded_side(strata.frame.join(fills, design.stratum), design.side_limit // _STRATUM_ROW)
+    if not strata.bounded:
+        strata = Side(materialize(strata.frame), False)
     times = "cast(size(filter(_drawn, d -> d = r)) as smallint)"
     dense = f"transform(sequence(0, {design.replicates - 1}), r -> {times}) as extra"
     extra = (

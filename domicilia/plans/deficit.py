@@ -109,6 +109,11 @@ def cohabitation_class(survey: Survey) -> DataFrame:
     return survey_total(heads, ["RA_nome", "situacao"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
 
 
+def cohabitation_by_region(survey: Survey) -> DataFrame:
+    heads = region_name(cohabitation_kind(survey.dwelling_heads)).filter(F.col("situacao") != codes.OTHER)
+    return survey_total(heads, ["RA_nome"], {"n": None}, survey.by_dwelling.replicates, ["ci"])
+
+
 def cohabitation_share(survey: Survey) -> DataFrame:
     heads = region_name(cohabitation_kind(survey.dwelling_heads))
     shares = survey_share(heads, ["RA_nome"], "situacao", survey.by_dwelling.replicates, "pct", ["cv"])
@@ -120,6 +125,11 @@ def cohabitation_table(survey: Survey) -> DataFrame:
     return wide.withColumn("coabitaçao", F.col(SITUATIONS[0]) + F.col(SITUATIONS[1]))
 
 
+def cohabitation_share_table(survey: Survey) -> DataFrame:
+    wide = spread(cohabitation_share(survey), ["RA_nome"], "situacao", "pct", SITUATIONS, 0.0)
+    return wide.withColumn("coabitaçao", F.col(SITUATIONS[0]) + F.col(SITUATIONS[1]))
+
+
 def rent_base(survey: Survey) -> DataFrame:
     """Heads whose household has a known, low, positive real income and no invalid rent."""
     income = F.col("renda_dom") * F.col("inflator_geral")

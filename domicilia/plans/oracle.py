@@ -657,6 +657,13 @@ def _queries() -> dict[str, str]:
             'SELECT faixa_idade, round(chefe, 6) AS "Chefe", round(outro, 6) AS "não chefe",'
             f" round(chefe / (chefe + outro), 6) AS taxadechefia FROM ({_RATE})"
         ),
+        "headship_population": _total(
+            f"SELECT * EXCLUDE (situacao_chefia), situacao_chefia AS situacao FROM ({_ADULTS})",
+            ["faixa_idade", "situacao"], n, ["ci"], design="r",
+        ),
+        "dhde_population": _total(
+            _ELIGIBLE, ["RA_nome", "faixa_renda_ind", "faixa_idade", "raca", "genero", "job"], {"pop": "1"}, ["ci"], design="r"
+        ),
         "dhde_cells": _rounded(_CELLS, 4, ["pop", "taxadechefia", "dhde"]),
         "dhde_by_region": f"SELECT RA_nome, round(sum(dhde), 4) AS dhde FROM ({_CELLS}) GROUP BY RA_nome",
         "dhde_by_income_band": demand_by_band,
@@ -694,6 +701,17 @@ def _queries() -> dict[str, str]:
             f"SELECT RA_nome, job, genero, raca, '{c}' AS componente, {c} AS n FROM ({long_coab})" for c in ("fam_conv", "comodo")
         ),
         "cohabitation_class": cohabitation,
+        "cohabitation_by_region": _total("SELECT * FROM h WHERE situacao <> 'Demais'", ["RA_nome"], n, ["ci"]),
+        "cohabitation_share_table": _rounded(
+            'SELECT *, "Cômodo" + "Famílias conviventes" AS "coabitaçao" FROM ('
+            + _wide(
+                "SELECT RA_nome, situacao, sum(w) / sum(sum(w)) OVER (PARTITION BY RA_nome) AS pct FROM h GROUP BY RA_nome, situacao",
+                ["RA_nome"], "situacao", "pct", dict(list(_COHABITING.items())[:2]),
+            )
+            + ") WHERE RA_nome IN (SELECT RA_nome FROM h WHERE situacao <> 'Demais')",
+            6,
+            [*list(_COHABITING.values())[:2], "coabitaçao"],
+        ),
         "cohabitation_share": f"SELECT * FROM ({_share(_H, ['RA_nome'], 'situacao', 'pct', ['cv'])}) WHERE situacao <> 'Demais'",
         "cohabitation_table": _rounded(
             'SELECT *, "Cômodo" + "Famílias conviventes" AS "coabitaçao" FROM ('
@@ -719,6 +737,7 @@ def _queries() -> dict[str, str]:
         "deficit_composition": composition,
         "deficit_composition_legacy": legacy,
         "composition_table": _wide(composition, ["RA_nome"], "composicao", "n", {f"'{x}'": x for x in labels}),
+        "composition_table_legacy": _wide(legacy, ["RA_nome"], "composicao", "n", {f"'{x}'": x for x in labels if x != "precariedade e adensamento"}),
         "deficit_dominant": f"SELECT * FROM ({_total(dominant, ['RA_nome', 'dominante'], n, ['ci'])}) WHERE dominante <> 'sem deficit'",
         "lot_status": f"SELECT * FROM ({_total(_H, ['RA_nome', 'deficit_habit', 'lote'], n, ['ci'])}) WHERE deficit_habit = 1",
         "component_totals": " UNION ALL ".join(

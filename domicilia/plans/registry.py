@@ -414,6 +414,8 @@ QUERIES: dict[str, Query] = {
     "income_bands": _resident_query(income_bands, relation=False),
     # housing demand
     "headship_rate": _indicator(demand.headship_rate, 6),
+    "headship_population": _indicator(demand.adult_totals),
+    "dhde_population": _indicator(demand.eligible_totals),
     "dhde_cells": _indicator(demand.dhde_cells),
     "dhde_by_region": _indicator(demand.dhde_by_region),
     "dhde_by_income_band": _indicator(demand.dhde_by_income_band),
@@ -429,6 +431,8 @@ QUERIES: dict[str, Query] = {
     "cohabitation_rollup": _indicator(deficit.cohabitation_rollup),
     "cohabitation_components_long": _indicator(deficit.cohabitation_components_long),
     "cohabitation_class": _indicator(deficit.cohabitation_class),
+    "cohabitation_by_region": _indicator(deficit.cohabitation_by_region),
+    "cohabitation_share_table": _indicator(deficit.cohabitation_share_table, 6),
     "cohabitation_share": _indicator(deficit.cohabitation_share, 6),
     "cohabitation_table": _indicator(deficit.cohabitation_table),
     "rent_burden": _indicator(deficit.rent_burden),
@@ -443,6 +447,7 @@ QUERIES: dict[str, Query] = {
     "deficit_composition": _indicator(deficit.deficit_composition),
     "deficit_composition_legacy": _indicator(deficit.deficit_composition, legacy=True),
     "composition_table": _indicator(deficit.composition_table),
+    "composition_table_legacy": _indicator(deficit.composition_table, legacy=True),
     "deficit_dominant": _indicator(deficit.deficit_dominant),
     "lot_status": _indicator(deficit.lot_status),
     "component_totals": _indicator(deficit.component_totals),
