@@ -84,24 +84,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _named(fields: dict[str, str]) -> list:
-    return [F.expr(sql).alias(name) for name, sql in fields.items()]
+def _named(frame: DataFrame, fields: dict[str, str]) -> DataFrame:
+    return frame.selectExpr(*[f"{sql} as {name}" for name, sql in fields.items()])
 
 
 def dwellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).select(*_named(DWELLING))
+    return _named(orders.join(customer, orders.o_custkey == customer.c_custkey), DWELLING)
 
 
 def residents(spark: SparkSession, sf_dir: str, relation: bool = True) -> DataFrame:
     """Order lines as residents; without `relation` the search for the head is spared."""
     lines = _table(spark, sf_dir, "lineitem")
     if not relation:
-        return lines.select(*_named(RESIDENT))
+        return _named(lines, RESIDENT)
     first = lines.groupBy("l_orderkey").agg(F.min(F.struct(*RESIDENT_ORDER)).alias("_first"))
     joined = join_to_unique(lines, first, ["l_orderkey"], "inner", hot_keys(lines, ["l_orderkey"]))
     marked = joined.withColumn("head", F.struct(*RESIDENT_ORDER) == F.col("_first"))
-    return marked.select(*_named({**RESIDENT, **RELATION}))
+    return _named(marked, {**RESIDENT, **RELATION})
 
 
 # Monthly price changes in %, by class: from line taxes and from order totals.
@@ -140,7 +140,7 @@ OCCUPIED_KEEP = "not (year(o_orderdate) = 1997 and o_orderkey % 33 < 5)"
 
 def occupied_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupied-area polygons: region, year, hectares."""
-    return _table(spark, sf_dir, "orders").filter(OCCUPIED_KEEP).select(*_named(OCCUPIED))
+    return _named(_table(spark, sf_dir, "orders").filter(OCCUPIED_KEEP), OCCUPIED)
 
 
 def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
