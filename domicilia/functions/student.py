@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp, inf, lgamma, log, sqrt
+from math import exp, inf, lgamma, log
 from statistics import NormalDist
 
 

@@ -15,8 +15,6 @@ from domicilia.sources import standin
 R, SEED, BUCKETS, SLACK = 20, 8888, 16, 6.0
 T_CRITICAL = 2.093024054408263  # Student's t, 0.975, 19 degrees of freedom
 
-_LABELLED = {"A01ra": codes.REGIONS, "A01setor": codes.SECTORS}
-
 
 def _fields(fields: Mapping[str, str]) -> str:
     return ", ".join(f'{sql} AS "{name}"' for name, sql in fields.items())
@@ -55,6 +53,9 @@ _AGE = (
 )
 
 
+_VISIT_MONTH = _label("month(strptime(datavisita, '%m/%d/%Y'))", codes.MONTHS)
+
+
 def _income_band(x: str) -> str:
     return (
         f"CASE WHEN {x} >= 0 AND {x} <= 1800 THEN 'Até R$1800' WHEN {x} > 1800 AND {x} <= 2600 THEN 'Entre R$1801 e R$2600'"
@@ -103,8 +104,8 @@ CTE = {
         " max(CASE WHEN classe = 7448 THEN inflator END) AS inflator_aluguel FROM infl GROUP BY mes"
     ),
     "hm": (
-        f"SELECT hh.*, m.mes, m.inflator_geral, m.inflator_aluguel FROM (SELECT *, {_label('month(strptime(datavisita, ' + chr(39) + '%m/%d/%Y' + chr(39) + '))', codes.MONTHS)}"
-        " AS mes FROM hh) hh LEFT JOIN months m USING (mes)"
+        f"SELECT hh.*, m.mes, m.inflator_geral, m.inflator_aluguel FROM (SELECT *, {_VISIT_MONTH} AS mes FROM hh) hh"
+        " LEFT JOIN months m USING (mes)"
     ),
     "renda": (
         "SELECT A01nficha, CASE WHEN count(x) = count(*) THEN sum(x) END AS renda_dom, count(*) AS pessoas,"
@@ -372,7 +373,7 @@ def _share(frame: str, outer: Sequence[str], inner: str, name: str, vartype: Seq
     return _estimates(values, [*outer, inner], [name], vartype, 6)
 
 
-def _wide(sql: str, rows: Sequence[str], key: str, value: str, names: Mapping[str, str], fill: bool = True, digits: int = 4) -> str:
+def _wide(sql: str, rows: Sequence[str], key: str, value: str, names: Mapping[str, str], fill: bool = True) -> str:
     """Long to wide; `names` maps a condition value (as SQL) to the column name."""
     cells = []
     for literal, name in names.items():
@@ -393,7 +394,6 @@ _COHABITING = {
     "'Famílias conviventes'": "Famílias conviventes",
     "'Demais'": "Demais",
 }
-_RAW = 12  # digits kept where a later step rounds
 
 _ADULTS = "SELECT * FROM people WHERE real IS NOT NULL AND idade_calculada BETWEEN 24 AND 64"
 _ELIGIBLE = (
@@ -456,7 +456,6 @@ def _polygon_sql() -> str:
 def _queries() -> dict[str, str]:
     sector = _label("A01setor", codes.SECTORS)
     region = _label("A01ra", codes.REGIONS)
-    month = _label("month(strptime(datavisita, '%m/%d/%Y'))", codes.MONTHS)
     flags3 = {c: c for c in ("dom_rust", "dom_imp", "habit_prec")}
     coab3 = {c: c for c in ("fam_conv", "comodo", "cohabit_familiar")}
     n = {"n": "1"}
@@ -525,7 +524,7 @@ def _queries() -> dict[str, str]:
             "SELECT A01nficha, cast(A01ra AS VARCHAR) AS ra_texto, try_cast(POS_ESTRATO AS DOUBLE) AS estrato_numero,"
             " try_cast(split_part(datavisita, '/', 1) AS DOUBLE) AS mes_numero FROM hh"
         ),
-        "visit_month": f"SELECT A01nficha, cast(strptime(datavisita, '%m/%d/%Y') AS DATE) AS data, {month} AS mes FROM hh",
+        "visit_month": f"SELECT A01nficha, cast(strptime(datavisita, '%m/%d/%Y') AS DATE) AS data, {_VISIT_MONTH} AS mes FROM hh",
         "label_concat": (
             f"SELECT {region} || ' ' || cast(cast(sum(PESO_PRE) AS BIGINT) AS VARCHAR) AS rotulo FROM hh GROUP BY A01ra"
         ),
@@ -538,7 +537,7 @@ def _queries() -> dict[str, str]:
             " ON p.A01nficha = hh.A01nficha AND p.A01ra = hh.A01ra"
         ),
         "join_inflator": (
-            f"SELECT A01nficha, {month} AS mes, round(inflator_geral, 8) AS inflator_geral,"
+            f"SELECT A01nficha, {_VISIT_MONTH} AS mes, round(inflator_geral, 8) AS inflator_geral,"
             " round(inflator_aluguel, 8) AS inflator_aluguel FROM hm"
         ),
         "join_household_income": (

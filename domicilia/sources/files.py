@@ -39,9 +39,14 @@ def read_delimited(
 
 
 def comma_numbers(frame: DataFrame) -> DataFrame:
-    """Fractional columns as text with a decimal comma."""
+    """Fractional columns as text with a decimal comma, never with an exponent."""
     numeric = [f.name for f in frame.schema if f.dataType.typeName() in ("double", "float", "decimal")]
-    return frame.withColumns({c: F.translate(F.col(c).cast("string"), ".", ",") for c in numeric})
+
+    def text(name: str):
+        plain = F.regexp_replace(F.format_string("%.10f", F.col(name).cast("double")), r"\.?0+$", "")
+        return F.when(F.col(name).isNotNull(), F.translate(plain, ".", ","))
+
+    return frame.withColumns({name: text(name) for name in numeric})
 
 
 def write_delimited(frame: DataFrame, path: str, sep: str = ";", encoding: str = "ISO-8859-1") -> None:

@@ -1,6 +1,5 @@
 """Estimates against a plain computation from the replicate factors."""
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F

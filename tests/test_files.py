@@ -25,7 +25,7 @@ def test_scan_decimal_comma(spark, tmp_path):
 
 
 def test_sink_round_trip(spark, tmp_path):
-    frame = spark.createDataFrame([(1, 2.5, "São"), (2, None, None), (3, -0.25, "b;c")], SCHEMA)
+    frame = spark.createDataFrame([(1, 2.5, "São"), (2, None, None), (3, -0.25, "b;c"), (4, 123456789.125, "d"), (5, 0.0, "e"), (6, 100.0, "f")], SCHEMA)
     path = str(tmp_path / "out")
     files.write_delimited(frame.coalesce(1), path)
     text = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
