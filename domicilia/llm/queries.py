@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from domicilia.llm.near_dedup import NearDedup
+from domicilia.llm.substring_dedup import SubstringDedup
 from domicilia.llm.tables import read
+from domicilia.llm.token_count import TokenCount
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDedup().run(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SubstringDedup().run(read(spark, sf_dir, "documents"), with_text=False)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TokenCount(public_tokenizers.path("byte_bpe_50k.json")).run(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op8_substring_dedup, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -40,7 +40,7 @@ def own(frame: DataFrame, **columns: str) -> DataFrame:
 
 def input_bytes(frame: DataFrame) -> int:
     """Size of a frame as the optimizer estimates it, without running a job."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 __all__ = ["input_bytes", "own", "read", "ship", "store"]
