@@ -9,6 +9,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as driver
+from domicilia.plans.registry import QUERIES as SURVEY
 
 CORE = """
 index_extract recode_region recode_sector round_numeric filter_not_in case_labels bin_right_closed visit_month
@@ -20,8 +21,8 @@ dhde_classes precarious_class cohabitation_flags rent_burden_share deficit_total
 deficit_final_table profile_hierarchy density_table
 """.split()
 
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = {name: build for name, build in driver.queries().items() if name in SURVEY}
+SQL = {name: sql for name, sql in driver.oracle_sql().items() if name in SURVEY}
 
 
 def test_every_query_has_its_sql():
