@@ -5,13 +5,14 @@
 2. Two classes are candidates when a band of their registers agrees and the joint
    likelihood of both sketches does not rule the threshold out. First each class is only
    held against the smallest and the largest id of its bands (the two likeliest for
-   each class), which joins most of a large group with few comparisons. Then all candidates
-   that are still in different components are held against each other; bands of many
-   classes are dealt out in pairs of blocks for that.
-3. A candidate becomes a link when the shingle sets of both whole texts say so.
+   each class), which joins most of a large group with few comparisons. Then candidates
+   in different components are looked for; bands of many classes are dealt out in pairs of
+   blocks for that. Components that candidates tie together form a cluster.
+3. A candidate becomes a link when the shingle sets of both whole texts say so. In a
+   cluster the texts outside its largest component meet all others, again in blocks.
 
-Pairs within a component are not enumerated. No candidate is dropped for the size of its
-band. Chance that bands or likelihood miss a pair of exactly the threshold: below 2e-4.
+Pairs never leave a task: it passes on one link for each two components that it joins. No
+candidate is dropped for the size of its band or cluster. Chance that bands or likelihood miss a pair of exactly the threshold: below 2e-4.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from domicilia.llm.words import chunks, mix, shingle_sets
 class NearDedup:
     """`similarity`: least Jaccard similarity in percent of a link; `slack`: what the sketches'
     estimate may fall short of it (four standard deviations); `block`: classes of a band that
-    one task compares with as many others; `first`: pivots that a class is held against at first.
+    one task compares with as many others; `texts`: the same for whole texts; `first`: pivots
+    that a class is held against at first.
     """
 
     similarity: int = 75
@@ -43,6 +45,7 @@ class NearDedup:
     sketch: SetSketch = field(default_factory=SetSketch)
     slack: float = 0.18
     block: int = 1024
+    texts: int = 256
     first: int = 2
 
     @property
@@ -123,8 +126,8 @@ class NearDedup:
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("estimate"), "b"))
         linked = store(self.verify(likely.withColumn("rank", rank).filter(F.col("rank") <= self.first), docs))
         nodes = store(components(linked))
-        rest = store(self._apart(members, nodes, classes))
-        return linked.union(self.verify(rest, docs))
+        tied = store(components(self._apart(members, nodes, classes)))
+        return linked.union(self._across(tied, nodes, classes, docs))
 
     def _estimate(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sketches allow a link, with the estimate."""
@@ -147,7 +150,7 @@ class NearDedup:
         return joined.mapInArrow(judge, "a long, b long, estimate double")
 
     def _apart(self, members: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-        """Candidates (a, b) that share a band but no component yet."""
+        """Components (a, b) that candidates of different components tie together."""
         sketch, likely, block = self.sketch, self.likely, self.block
         labelled = members.select("key", "id").join(nodes, F.col("id") == F.col("node"), "left")
         labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -172,24 +175,64 @@ class NearDedup:
             regs = _matrix(table.column("sketch").combine_chunks(), sketch.size)
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            group = parts.copy()
             found = []
             for x in left:
-                near = right[(parts[right] != parts[x]) & ((ids[right] > ids[x]) | (i != j))]
-                # Sets whose sizes are too unlike cannot reach the threshold.
-                near = near[np.minimum(sizes[near], sizes[x]) >= likely * np.maximum(sizes[near], sizes[x])]
-                if not len(near):
-                    continue
-                near = near[(regs[near] == regs[x]).sum(axis=1) >= sketch.rows]
-                if len(near):
-                    again = np.broadcast_to(regs[x], (len(near), sketch.size))
-                    estimate = sketch.similarity(again, regs[near], np.full(len(near), sizes[x]), sizes[near])
-                    near = near[estimate >= likely]
-                    found.append(np.stack([np.maximum(ids[near], ids[x]), np.minimum(ids[near], ids[x])]))
-            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+                near = right[(group[right] != group[x]) & ((ids[right] > ids[x]) | (i != j))]
+                near = near[sketch.possible(regs[x], regs[near], sizes[x], sizes[near], likely)]
+                for y in near:
+                    if group[y] != group[x]:
+                        found.append((parts[x], parts[y]))
+                        group[group == group[y]] = group[x]
+            return _pairs(found)
 
         return rows.groupBy("key", "i", "j").applyInArrow(judge, "a long, b long").distinct()
 
+    def _across(self, tied: DataFrame, nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+        """Links between the components of each cluster, one for each two that a task joins."""
+        width, percent, sketch, likely, block = self.width, self.similarity, self.sketch, self.likely, self.texts
+        tied = tied.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+        side = classes.join(nodes, F.col("id") == F.col("node"), "left")
+        side = side.select("id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+        side = store(side.join(tied, "component"))
+        parts = side.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+        parts = parts.groupBy("cluster").agg(
+            F.max_by("component", F.struct("size", "component")).alias("largest"),
+            F.ceil(F.sum("size") / block).cast("int").alias("blocks"),
+            F.ceil((F.sum("size") - F.max("size")) / block).cast("int").alias("strips"),
+        )
+        texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+        rows = side.join(store(parts), "cluster").join(texts, "id")
+        met = """transform(sequence(0, strips - 1), i -> struct(i, int(pmod(xxhash64(id), blocks)) AS j, false AS alone))"""
+        out = """transform(sequence(0, blocks - 1), j -> struct(int(pmod(xxhash64(id, 1), strips)) AS i, j, true AS alone))"""
+        spread = F.expr(f"concat({met}, if(component != largest, {out}, array()))")
+        rows = rows.select("cluster", "component", "id", "n", "sketch", "text", F.explode(spread).alias("at"))
+        rows = rows.select("cluster", "at.*", "component", "id", "n", "sketch", "text")
+
+        def judge(table: pa.Table) -> pa.Table:
+            alone = table.column("alone").to_numpy()
+            left, right = np.flatnonzero(alone), np.flatnonzero(~alone)
+            group = table.column("component").to_numpy().copy()
+            if (group[left] == group[right][0]).all() and (group[right] == group[right][0]).all():
+                return _pairs([])
+            ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy().astype(float)
+            regs = _matrix(table.column("sketch").combine_chunks(), sketch.size)
+            sets = shingle_sets(table.column("text"), width)
+            found = []
+            for x in left:
+                near = right[group[right] != group[x]]
+                near = near[sketch.possible(regs[x], regs[near], sizes[x], sizes[near], likely)]
+                for y in near:
+                    if group[y] == group[x]:
+                        continue
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if shared and 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                        found.append((ids[x], ids[y]))
+                        group[group == group[y]] = group[x]
+            return _pairs(found)
+
+        return rows.groupBy("cluster", "i", "j").applyInArrow(judge, "a long, b long")
+
     def verify(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole texts reach the similarity."""
         width, percent = self.width, self.similarity
@@ -219,6 +262,11 @@ def _digest(values: np.ndarray) -> bytes:
     return values.sum(dtype=np.uint64).tobytes() + other.sum(dtype=np.uint64).tobytes()
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = pc.binary_join(pa.ListArray.from_arrays([0, len(column)], column), b"") if len(column) else None
     return np.frombuffer(flat[0].as_py(), np.uint8).reshape(-1, width) if flat is not None else np.zeros((0, width), np.uint8)

@@ -73,3 +73,16 @@ class SetSketch:
         tiny = 1e-12
         likely = more * np.log(up + tiny) + less * np.log(down + tiny) + same * np.log(np.maximum(1 - up - down, tiny))
         return np.take_along_axis(guess, likely.argmax(axis=1)[:, None], axis=1)[:, 0]
+
+    def possible(self, a: np.ndarray, rows: np.ndarray, n_a: float, n: np.ndarray, likely: float) -> np.ndarray:
+        """Places of the rows whose sets may reach the similarity `likely` with one set.
+
+        First the sizes must allow it, then the share of equal registers (which is never
+        below the similarity but for chance), then the joint likelihood.
+        """
+        at = np.flatnonzero(np.minimum(n, n_a) >= likely * np.maximum(n, n_a))
+        at = at[(rows[at] == a).mean(axis=1) >= likely - 0.05]
+        if not len(at):
+            return at
+        again = np.broadcast_to(a, (len(at), self.size))
+        return at[self.similarity(again, rows[at], np.full(len(at), n_a), n[at]) >= likely]
