@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from domicilia.llm.tables import input_bytes, own
 from domicilia.llm.words import Words, chunks, mix
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+_GATHER = 1 << 16
 _OTHER = np.uint64(0xA0761D6478BD642F)
 _STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -78,9 +79,23 @@ def _string_key(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, step: int
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges one after the other, and where each begins."""
-    sizes = ends - starts
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    return data[np.arange(int(at[-1])) + np.repeat(starts - at[:-1], sizes)], at
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    out = np.empty(int(at[-1]), np.uint8)
+    for low in range(0, len(starts), _GATHER):
+        edge = at[low : low + _GATHER + 1]
+        shift = np.repeat(starts[low : low + _GATHER] - edge[:-1], np.diff(edge))
+        out[edge[0] : edge[-1]] = data[np.arange(edge[0], edge[-1]) + shift]
+    return out, at
+
+
+def _head(*columns: np.ndarray) -> bytes:
+    """doc_id in 8 bytes, the other columns (a 32-bit tag, word places, sizes) in 4."""
+    return b"".join(c.astype("<i8" if not i else "<i4").tobytes() for i, c in enumerate(columns))
+
+
+def _columns(head: bytes) -> np.ndarray:
+    n = len(head) // 20
+    return np.stack([np.frombuffer(head, "<i8", n), *np.frombuffer(head, "<i4", 3 * n, 8 * n).reshape(3, n).astype(np.int64)])
 
 
 def _same(*keys: np.ndarray) -> np.ndarray:
@@ -138,7 +153,7 @@ class SubstringDedup:
         gives an empty result. Without `with_text` the kept text is left out.
         """
         docs = own(docs, doc_id=doc_id, text=text)
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").cast("long").alias("tag"))
         ranges = self.removed(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
         joined = docs.join(ranges, ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
@@ -173,19 +188,18 @@ def _cut(part: pa.RecordBatch, width: int, seed: int, buckets: int) -> Iterator[
     bucket = (kmers.seed % np.uint64(buckets)).astype(np.int64)
     sent = sent[np.argsort(bucket[sent], kind="stable")]
     raw, at = _gather(words.data, words.starts[kmers.low[sent]], words.ends[stop[sent] - 1])
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     numbers, heads, bodies = [], [], []
     edges = np.flatnonzero(np.diff(bucket[sent], prepend=-1))
     for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(sent)], strict=True):
         some = sent[low:high]
-        head = np.stack([doc[some], tag[some], place[some], np.diff(at[low : high + 1])])
         numbers.append(int(bucket[some[0]]))
-        heads.append(squeeze.compress(head.tobytes()))
+        heads.append(squeeze.compress(_head(doc[some], tag[some], place[some], np.diff(at[low : high + 1]))))
         bodies.append(squeeze.compress(raw[at[low] : at[high]].tobytes()))
     if len(settled):
-        head = np.stack([doc[settled], tag[settled], place[settled], place[settled] + stop[settled] - kmers.low[settled]])
+        ends = place[settled] + stop[settled] - kmers.low[settled]
         numbers.append(int(mix(doc[settled[:1]].astype(np.uint64))[0] % np.uint64(buckets)))
-        heads.append(squeeze.compress(head.tobytes()))
+        heads.append(squeeze.compress(_head(doc[settled], tag[settled], place[settled], ends)))
         bodies.append(None)
     yield pa.RecordBatch.from_arrays(
         [pa.array(numbers, pa.int64()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["bucket", "head", "body"]
@@ -195,7 +209,7 @@ def _cut(part: pa.RecordBatch, width: int, seed: int, buckets: int) -> Iterator[
 def _meet(table: pa.Table, width: int, most: int) -> pa.Table:
     """Ranges that the repeated windows of one bucket cover."""
     unpack = zstandard.ZstdDecompressor()
-    heads = [np.frombuffer(unpack.decompress(h.as_py()), np.int64).reshape(4, -1) for h in table.column("head")]
+    heads = [_columns(unpack.decompress(h.as_py())) for h in table.column("head")]
     bodies = table.column("body")
     held = [i for i in range(len(heads)) if bodies[i].is_valid]
     found = [heads[i] for i in range(len(heads)) if not bodies[i].is_valid]
