@@ -40,17 +40,12 @@ def complements(counts: np.ndarray, gap: int) -> Iterator[tuple[int, ...]]:
         if counts[a] and counts[gap - a]:
             yield (a, gap - a)
     for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-        while counts[a]:
+        if counts[a]:
             rest = gap - a
             b = np.arange(min(a, rest - 1), (rest + 1) // 2 - 1, -1)
-            b = b[(counts[b] > 0) & (counts[rest - b] > 0)]
-            if not len(b):
-                break
-            for x in b.tolist():
+            for x in b[(counts[b] > 0) & (counts[rest - b] > 0)].tolist():
                 if counts[a] and counts[x] and counts[rest - x]:
                     yield (a, x, rest - x)
-            if (_most(counts, (a, int(b[-1]), rest - int(b[-1])))) == 0 or len(b) == 1:
-                break
 
 
 def _most(counts: np.ndarray, lengths: tuple[int, ...]) -> int:

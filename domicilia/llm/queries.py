@@ -6,15 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from domicilia.llm.near_dedup import NearDedup
+from domicilia.llm.packing import Packing
+from domicilia.llm.secrets import SecretScan
 from domicilia.llm.substring_dedup import SubstringDedup
 from domicilia.llm.tables import read
 from domicilia.llm.token_count import TokenCount
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Packing(public_tokenizers.path("byte_bpe_50k.json")).run(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDedup().run(read(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SecretScan().run(read(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SubstringDedup().run(read(spark, sf_dir, "documents"), with_text=False)
 
@@ -23,6 +33,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TokenCount(public_tokenizers.path("byte_bpe_50k.json")).run(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op8_substring_dedup, op9_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_best_fit_packing,
+        op4_minhash_near_dedup,
+        op5_secret_scan,
+        op8_substring_dedup,
+        op9_token_counts,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
