@@ -29,17 +29,17 @@ from domicilia.llm.words import chunks
 Pattern = tuple[int, list[tuple[int, int]]]  # sequences, and (length, pieces of it) in each
 
 
-def complements(counts: np.ndarray, gap: int) -> Iterator[tuple[int, ...]]:
-    """Available lengths, longest first, that fill `gap`: one, then two, then three of them.
+def complements(counts: np.ndarray, gap: int, most: int) -> Iterator[tuple[int, ...]]:
+    """Available lengths, longest first, that fill `gap`: one, then two, then three, `most` at most.
 
     The indexes are looked up in the counts as they are when the next one is asked for.
     """
     if counts[gap]:
         yield (gap,)
-    for a in range(gap - 1, (gap + 1) // 2 - 1, -1):
+    for a in range(gap - 1, (gap + 1) // 2 - 1, -1) if most > 1 else ():
         if counts[a] and counts[gap - a]:
             yield (a, gap - a)
-    for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
+    for a in range(gap - 2, (gap + 2) // 3 - 1, -1) if most > 2 else ():
         if counts[a]:
             rest = gap - a
             b = np.arange(min(a, rest - 1), (rest + 1) // 2 - 1, -1)
@@ -53,8 +53,8 @@ def _most(counts: np.ndarray, lengths: tuple[int, ...]) -> int:
     return min(int(counts[x]) // lengths.count(x) for x in set(lengths))
 
 
-def exact_fills(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Consumes, from `counts`, combinations of up to four lengths that fill a sequence."""
+def exact_fills(counts: np.ndarray, capacity: int, most: int = 3) -> list[Pattern]:
+    """Consumes, from `counts`, lengths with up to `most` others that fill a sequence."""
     plan: list[Pattern] = []
 
     def take(lengths: tuple[int, ...]) -> None:
@@ -66,7 +66,7 @@ def exact_fills(counts: np.ndarray, capacity: int) -> list[Pattern]:
     take((capacity,))
     for length in range(capacity - 1, 0, -1):
         if counts[length]:
-            for filled in complements(counts, capacity - length):
+            for filled in complements(counts, capacity - length, most):
                 take((length, *filled))
                 if not counts[length]:
                     break
@@ -108,10 +108,16 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
 def plan_ranges(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, first sequence, offset, pieces a sequence) by length and rank,
     and the number of sequences. `counts`: pieces of each length from 0 to `capacity`.
+
+    Triples use up short lengths that residuals may need, so complements of up to three, two
+    and one lengths are planned, and the plan of fewest sequences is taken.
     """
-    counts = counts.astype(np.int64).copy()
-    plan = exact_fills(counts, capacity)
-    plan += best_fit(counts, capacity)
+    plans = []
+    for most in (3, 2, 1):
+        left = counts.astype(np.int64).copy()
+        plan = exact_fills(left, capacity, most)
+        plans.append(plan + best_fit(left, capacity))
+    plan = min(plans, key=lambda p: sum(n for n, _ in p))
     rank = np.zeros(capacity + 1, np.int64)
     rows, sequence = [], 0
     for n, held in plan:
