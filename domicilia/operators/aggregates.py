@@ -61,8 +61,9 @@ def rank_groups(frame: DataFrame, group: str, statistic: Column, name: str = "ra
 
 
 def spread(frame: DataFrame, rows: Sequence[str], key: str, value: str, keys: Sequence, fill: float | None = None) -> DataFrame:
-    """Long to wide over the given key values, one cell per key and row."""
-    wide = frame.groupBy(*rows).pivot(key, list(keys)).agg(F.max(value))
+    """Long to wide over the given key values, one cell per key and row; a second one is an error."""
+    twice = F.raise_error(F.lit(f"{key} has two cells in one row")).cast(frame.schema[value].dataType)
+    wide = frame.groupBy(*rows).pivot(key, list(keys)).agg(F.when(F.count(F.lit(1)) <= 1, F.max(value)).otherwise(twice))
     return wide if fill is None else wide.fillna(fill, subset=[str(k) for k in keys])
 
 

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType, StructField, StructType
-
-# Scale for numbers that use a decimal comma; such files hold money, weights, areas.
-_COMMA_DECIMAL = DecimalType(28, 10)
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 def read_delimited(
@@ -20,8 +17,9 @@ def read_delimited(
 ) -> DataFrame:
     """Survey file with a header; fields trimmed, empty fields NULL.
 
-    With `decimal_comma`, double columns are read as decimals of a locale that uses
-    the comma, then cast, because the reader takes doubles with a point only.
+    With `decimal_comma`, double columns are read as text, because the reader takes doubles
+    with a point only, and cast in full precision; points before the comma group digits.
+    Text that is no number is NULL.
     """
     reader = (
         spark.read.option("sep", sep)
@@ -33,18 +31,31 @@ def read_delimited(
     if not decimal_comma:
         return reader.schema(schema).csv(path)
     doubles = {f.name for f in schema if isinstance(f.dataType, DoubleType)}
-    fields = [StructField(f.name, _COMMA_DECIMAL if f.name in doubles else f.dataType, f.nullable) for f in schema]
+    fields = [StructField(f.name, StringType() if f.name in doubles else f.dataType, f.nullable) for f in schema]
     frame = reader.schema(StructType(fields)).option("locale", "pt-BR").csv(path)
-    return frame.withColumns({c: F.col(c).cast("double") for c in doubles})
+
+    def number(name: str):
+        text = F.col(name)
+        grouped = F.when(text.contains(","), F.translate(text, ".", "")).otherwise(text)
+        return F.translate(grouped, ",", ".").try_cast("double")
+
+    return frame.withColumns({c: number(c) for c in doubles})
 
 
 def comma_numbers(frame: DataFrame) -> DataFrame:
-    """Fractional columns as text with a decimal comma, never with an exponent."""
+    """Fractional columns as text with a decimal comma, in the shortest form that reads back as the same number.
+
+    Numbers too large or too small to be written out have an exponent.
+    """
     numeric = [f.name for f in frame.schema if f.dataType.typeName() in ("double", "float", "decimal")]
 
     def text(name: str):
-        plain = F.regexp_replace(F.format_string("%.10f", F.col(name).cast("double")), r"\.?0+$", "")
-        return F.when(F.col(name).isNotNull(), F.translate(plain, ".", ","))
+        number = F.col(name).cast("double")
+        shortest = F.regexp_replace(number.cast("string"), r"\.0$", "")
+        decimal = number.try_cast("decimal(38,18)")
+        plain = F.regexp_replace(decimal.cast("string"), r"\.?0+$", "")
+        written = F.when(shortest.contains("E") & (plain.try_cast("double") == number), plain).otherwise(shortest)
+        return F.translate(written, ".", ",")
 
     return frame.withColumns({name: text(name) for name in numeric})
 

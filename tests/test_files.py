@@ -50,3 +50,12 @@ def test_polygon_tables(spark, tmp_path):
     spark.range(4).write.parquet(str(tmp_path / "v"))
     attributes, vertices = files.read_polygons(spark, str(tmp_path / "a"), str(tmp_path / "v"))
     assert (attributes.count(), vertices.count()) == (3, 4)
+
+
+def test_numbers_survive_writing_and_reading(spark, tmp_path):
+    values = [0.123456789012345, 4.2e-12, -1e-12, 1e21, 1234.9, 5.0, 1e10, -0.1, None]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, x double")
+    path = str(tmp_path / "numbers")
+    files.write_delimited(frame, path)
+    back = files.read_delimited(spark, path, frame.schema, decimal_comma=True, encoding="ISO-8859-1")
+    assert [r.x for r in back.orderBy("id").collect()] == values

@@ -141,3 +141,9 @@ def test_random_polygons_against_brute_force(spark):
     for (i, _), points in polygons.items():
         area, x, y = shoelace(points)
         assert (got[i]["area"], got[i]["x"], got[i]["y"]) == pytest.approx((abs(area), x, y))
+
+
+def test_spread_refuses_a_second_cell(spark):
+    frame = spark.createDataFrame([("a", "k", 1.0), ("a", "k", 9.0)], "row string, key string, v double")
+    with pytest.raises(Exception, match="two cells"):
+        agg.spread(frame, ["row"], "key", "v", ["k"]).collect()
