@@ -77,6 +77,11 @@ def path_label(columns: Sequence[Column], sep: str = "-") -> Column:
     return F.concat_ws(sep, *[F.coalesce(column.cast("string"), F.lit("NA")) for column in columns])
 
 
+def number_label(name: Column, number: Column) -> Column:
+    """A name and a number in whole units, ties to the even one; a missing part is spelled NA."""
+    return path_label([name, F.bround(number, 0).cast("decimal(38,0)")], " ")
+
+
 def split_two(text: Column, sep: str) -> tuple[Column, Column]:
     """Exactly two parts; the second holds the whole remainder or is empty."""
     parts = F.split(text, sep, 2)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from domicilia.operators.joins import hot_keys, join_to_unique
+from domicilia.operators.joins import hot_keys, join_to_unique, null_safe_left_join
 
 
 def strict_sum(value: Column, where: Column | None = None) -> Column:
@@ -43,10 +45,16 @@ def partition_sum(frame: DataFrame, value: Column, by: Sequence[str], name: str)
     """Group sum on every row of the group.
 
     Aggregated first and joined back, so that a hot group is combined before the
-    shuffle and its rows need not meet in one task, as they would in a window.
+    shuffle and its rows need not meet in one task, as they would in a window. Rows with a
+    NULL key are a group like any other; the one group of a single NULL key is broadcast.
     """
     sums = frame.groupBy(*by).agg(F.sum(value).alias(name))
-    return join_to_unique(frame, sums, by, "left", hot_keys(frame, by))
+    known = reduce(and_, [F.col(c).isNotNull() for c in by])
+    keyed = join_to_unique(frame.filter(known), sums.filter(known), by, "left", hot_keys(frame, by))
+    unkeyed = sums.filter(~known)
+    if len(by) == 1:
+        unkeyed = F.broadcast(unkeyed)
+    return keyed.unionByName(null_safe_left_join(frame.filter(~known), unkeyed, by))
 
 
 def rank_groups(frame: DataFrame, group: str, statistic: Column, name: str = "rank") -> DataFrame:
@@ -73,8 +81,10 @@ def gather(frame: DataFrame, ids: Sequence[str], columns: Sequence[str], key: st
 
 
 def complete(frame: DataFrame, rows: Sequence[str], key: str, value: str, keys: Sequence) -> DataFrame:
-    """Every row with every key; cells that were missing or NULL are zero."""
-    wide = spread(frame, rows, key, value, keys, 0.0)
+    """Every row with every key; cells that were missing or NULL are zero. Another key is an error."""
+    listed = F.when(F.col(key).isin(list(keys)), F.col(key))
+    other = F.raise_error(F.concat(F.lit(f"{key} is not listed: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    wide = spread(frame.withColumn(key, F.coalesce(listed, other)), rows, key, value, keys, 0.0)
     return gather(wide, rows, [str(k) for k in keys], key, value)
 
 

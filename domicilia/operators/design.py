@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ class Design:
     psu, stratum     primary sampling unit, nested in its stratum
     weight           weight before post-stratification
     post, population post-stratum and its known size
-    replicates, seed number of bootstrap replicates and the seed of their draws
+    replicates, seed number of bootstrap replicates (0: estimates without errors) and the
+                     seed of their draws
     buckets          into how many parts a stratum is split to number its PSUs
     slack            see `replicate`
     """
@@ -59,19 +60,34 @@ def post_strata(frame: DataFrame, design: Design, rows: str | None = None) -> Da
     """
     weight = F.col(design.weight) * (F.col(rows) if rows else F.lit(1))
     population = F.col(design.population)
+    total = F.sum(weight)
+    known = F.col(design.post).isNotNull() & (F.count(population) == F.count("*"))
     constant = F.min(population).eqNullSafe(F.max(population))
-    checked = F.when(constant, F.max(population)).otherwise(
-        F.raise_error(F.lit("the population must be constant in a post-stratum"))
+    checked = (
+        F.when(~known, F.raise_error(F.lit("a post-stratum or its population is missing")))
+        .when(constant, F.max(population))
+        .otherwise(F.raise_error(F.lit("the population must be constant in a post-stratum")))
     )
-    return frame.groupBy(design.post).agg(checked.alias("freq"), F.sum(weight).alias("weight_sum"))
+    positive = F.when(total > 0, total).otherwise(F.raise_error(F.lit("a post-stratum has no weight")))
+    return frame.groupBy(design.post).agg(checked.alias("freq"), positive.alias("weight_sum"))
 
 
 def post_stratify(frame: DataFrame, design: Design, rows: str | None = None) -> DataFrame:
-    """Add `w`, the weight scaled so that each post-stratum meets its population."""
+    """Add `w`, the weight scaled so that each post-stratum meets its population.
+
+    A missing post-stratum, population, stratum or PSU, and a post-stratum without weight,
+    are errors.
+    """
     totals = bounded_side(post_strata(frame, design, rows), design.side_limit)
     factors = totals.map(lambda t: t.select(design.post, F.try_divide("freq", "weight_sum").alias("_g")))
     weighted = attach(frame, factors, [design.post], [design.stratum, design.psu])
-    return weighted.withColumn("w", F.col(design.weight) * F.col("_g")).drop("_g")
+    return weighted.withColumn("w", _placed(design, F.col(design.weight) * F.col("_g"))).drop("_g")
+
+
+def _placed(design: Design, value: Column) -> Column:
+    """The value, for rows that have a stratum and a PSU; an error for others."""
+    known = F.col(design.stratum).isNotNull() & F.col(design.psu).isNotNull()
+    return F.when(known, value).otherwise(F.raise_error(F.lit("a stratum or a PSU is missing")))
 
 
 # Expressions that are used in several places are written as SQL text.
@@ -192,11 +208,15 @@ class Replicates:
 
     strata   n_h, `_steps` and `_keep` of each stratum
     The sample's frames carry `extra`, the explicit draws of a PSU per replicate,
-    NULL for most PSUs.
+    NULL for most PSUs. Without replicates there are no `strata`.
     """
 
     design: Design
-    strata: Side
+    strata: Side | None
+
+    def none(self) -> Replicates:
+        """For estimates without errors."""
+        return Replicates(replace(self.design, replicates=0), None)
 
     def unfold(self, frame: DataFrame) -> DataFrame:
         """One row per replicate, with the `factor` on the weight of its PSU.
@@ -227,7 +247,9 @@ def replicate(psus: DataFrame, design: Design) -> tuple[DataFrame, Replicates]:
     of n_h - 1 draws. Should the counts of a stratum exceed n_h - 1 in some
     replicate, they are dropped there and all of its draws are made one by one.
     """
-    bucketed = psus.select(design.stratum, _bucket(design))
+    if not design.replicates:
+        return psus.withColumn("extra", F.lit(None).cast("array<smallint>")), Replicates(design, None)
+    bucketed = psus.select(design.stratum, _placed(design, _bucket(design)).alias("_bucket"))
     sizes = bounded_side(bucketed.groupBy(design.stratum, "_bucket").agg(F.count("*").alias("_n")), design.side_limit)
     strata = _strata(sizes, design)
     counts = _with_counts(

@@ -32,8 +32,11 @@ def replicate_totals(
     """
     design = replicates.design
     inputs = [value.alias(f"_x_{name}") for name, value in measures.items() if value is not None]
-    needed = dict.fromkeys([design.stratum, design.psu, "w", "extra", *by])
-    weighted = replicates.unfold(frame.select(*needed, *inputs)).withColumn("_w", F.col("w") * F.col("factor"))
+    if design.replicates:
+        needed = dict.fromkeys([design.stratum, design.psu, "w", "extra", *by])
+        weighted = replicates.unfold(frame.select(*needed, *inputs)).withColumn("_w", F.col("w") * F.col("factor"))
+    else:
+        weighted = frame.select(*by, F.col("w").alias("_w"), *inputs)
 
     def total(name: str, value: Column | None) -> Column:
         if value is None:
@@ -41,7 +44,10 @@ def replicate_totals(
         product = F.col("_w") * F.col(f"_x_{name}")
         return F.sum(product) if na_rm else strict_sum(product)
 
-    return weighted.groupBy(*by, "rep").agg(*[total(n, v).alias(n) for n, v in measures.items()])
+    sums = [total(n, v).alias(n) for n, v in measures.items()]
+    if design.replicates:
+        return weighted.groupBy(*by, "rep").agg(*sums)
+    return weighted.groupBy(*by).agg(*sums).withColumn("rep", F.lit(0))
 
 
 def _with_totals(totals: DataFrame, by: Sequence[str], names: Sequence[str], fill: str | None) -> DataFrame:
@@ -55,8 +61,11 @@ def summarise(
 ) -> DataFrame:
     """Estimate and errors (se, cv, ci) from one value per domain and replicate.
 
-    Intervals use Student's t with `df` degrees of freedom, replicates - 1 by default.
+    Intervals use Student's t with `df` degrees of freedom, replicates - 1 by default. A design
+    without replicates gives the estimates alone.
     """
+    if not design.replicates:
+        return totals.select(*by, *names)
     columns = []
     for name in names:
         columns.append(F.max(F.when(F.col("rep") == 0, F.col(name))).alias(name))
@@ -86,7 +95,8 @@ def survey_total(
     na_rm: bool = False,
     df: float | None = None,
 ) -> DataFrame:
-    """Weighted totals; `fill` adds roll-up rows labelled with it."""
+    """Weighted totals; `fill` adds roll-up rows labelled with it. No errors asked for: no replicates."""
+    replicates = replicates if vartype else replicates.none()
     totals = _with_totals(replicate_totals(frame, by, measures, replicates, na_rm), by, list(measures), fill)
     return summarise(totals, by, list(measures), replicates.design, vartype, df)
 

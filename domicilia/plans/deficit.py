@@ -52,6 +52,7 @@ def precarious_class(survey: Survey) -> DataFrame:
 
 def precarious_table(survey: Survey) -> DataFrame:
     """Both kinds side by side, zero where there are none, and their sum."""
+    survey = survey.point
     heads = region_name(precarious_kind(survey.dwelling_heads))
     totals = survey_total(heads, ["RA_nome", "domicilio"], {"n": None}, survey.by_dwelling.replicates, [])
     wide = spread(totals.filter(F.col("domicilio").isNotNull()), ["RA_nome"], "domicilio", "n", KINDS, 0.0)
@@ -60,6 +61,7 @@ def precarious_table(survey: Survey) -> DataFrame:
 
 def precarious_null_key_table(survey: Survey) -> DataFrame:
     """As `precarious_table`, with the dwellings of no kind as a column."""
+    survey = survey.point
     heads = region_name(precarious_kind(survey.dwelling_heads))
     totals = survey_total(heads, ["RA_nome", "domicilio"], {"n": None}, survey.by_dwelling.replicates, [])
     labelled = totals.withColumn("domicilio", F.coalesce("domicilio", F.lit("demais domicílios")))
@@ -99,6 +101,7 @@ def cohabitation_rollup(survey: Survey) -> DataFrame:
 
 
 def cohabitation_components_long(survey: Survey) -> DataFrame:
+    survey = survey.point
     keys = ["RA_nome", "job", "genero", "raca"]
     wide = cohabitation_flags(survey).groupBy(*keys).agg(F.sum("fam_conv").alias("fam_conv"), F.sum("comodo").alias("comodo"))
     return gather(wide, keys, ["fam_conv", "comodo"], "componente", "n")
@@ -121,6 +124,7 @@ def cohabitation_share(survey: Survey) -> DataFrame:
 
 
 def cohabitation_table(survey: Survey) -> DataFrame:
+    survey = survey.point
     wide = spread(cohabitation_class(survey), ["RA_nome"], "situacao", "n", [*SITUATIONS, codes.OTHER], 0.0)
     return wide.withColumn("coabitaçao", F.col(SITUATIONS[0]) + F.col(SITUATIONS[1]))
 
@@ -153,6 +157,7 @@ def rent_burden_share(survey: Survey) -> DataFrame:
 
 
 def rent_burden_table(survey: Survey) -> DataFrame:
+    survey = survey.point
     totals = survey_total(rent_base(survey), ["RA_nome", "onus_aluguel"], {"n": None}, survey.by_dwelling.replicates, [])
     wide = spread(totals, ["RA_nome"], "onus_aluguel", "n", [0, 1], 0.0)
     return wide.withColumnsRenamed({"0": "sem ônus", "1": "ônus excessivo"})
@@ -170,6 +175,7 @@ def overcrowding_share(survey: Survey) -> DataFrame:
 
 
 def overcrowding_table(survey: Survey) -> DataFrame:
+    survey = survey.point
     heads = region_name(survey.dwelling_heads)
     totals = survey_total(heads, ["RA_nome", "adens"], {"n": None}, survey.by_dwelling.replicates, [])
     wide = spread(totals, ["RA_nome"], "adens", "n", [0, 1], 0.0)
@@ -201,6 +207,7 @@ def deficit_composition(survey: Survey, legacy: bool = False) -> DataFrame:
 
 
 def composition_table(survey: Survey, legacy: bool = False) -> DataFrame:
+    survey = survey.point
     pairs = codes.PAIR_LABELS_LEGACY if legacy else codes.PAIR_LABELS
     labels = dict.fromkeys([codes.ALL_COMPONENTS, *codes.SINGLE_LABELS.values(), *[p[2] for p in pairs]])
     return spread(deficit_composition(survey, legacy), ["RA_nome"], "composicao", "n", list(labels), 0.0)
@@ -221,6 +228,7 @@ def lot_status(survey: Survey) -> DataFrame:
 
 def component_totals(survey: Survey) -> DataFrame:
     """The four components of the whole area, in long form."""
+    survey = survey.point
     names = {
         "precariedade": F.col("habit_prec"),
         "coabitaçao": F.col("cohabit_familiar"),
@@ -242,6 +250,7 @@ def deficit_final_table(survey: Survey) -> DataFrame:
 
 
 def deficit_components_long(survey: Survey) -> DataFrame:
+    survey = survey.point
     columns = ["habit_prec", "adens", "cohabit_familiar", "onus_aluguel"]
     return gather(deficit_final_table(survey).select("RA_nome", *columns), ["RA_nome"], columns, "componente", "n")
 

@@ -21,7 +21,7 @@ def adult_totals(survey: Survey) -> DataFrame:
 
 def headship_rate(survey: Survey) -> DataFrame:
     """Heads among adults of each age band; unknown where a cell is missing."""
-    wide = spread(adult_totals(survey), ["faixa_idade"], "situacao", "n", [codes.HEAD, codes.NOT_HEAD])
+    wide = spread(adult_totals(survey.point), ["faixa_idade"], "situacao", "n", [codes.HEAD, codes.NOT_HEAD])
     heads, others = F.col(codes.HEAD), F.col(codes.NOT_HEAD)
     return wide.withColumn("taxadechefia", F.try_divide(heads, heads + others))
 
@@ -46,7 +46,7 @@ def eligible_totals(survey: Survey) -> DataFrame:
 def dhde_cells(survey: Survey) -> DataFrame:
     """Population, headship rate and demand of each cell; the rates are three rows."""
     rate = headship_rate(survey).select("faixa_idade", "taxadechefia")
-    cells = eligible_totals(survey).select(*CELL, "pop").join(F.broadcast(rate), "faixa_idade", "left")
+    cells = eligible_totals(survey.point).select(*CELL, "pop").join(F.broadcast(rate), "faixa_idade", "left")
     return cells.withColumn("dhde", F.col("pop") * F.col("taxadechefia"))
 
 

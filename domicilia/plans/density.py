@@ -22,8 +22,9 @@ def area_by_year(areas: DataFrame, years: Sequence[int]) -> DataFrame:
     return complete(sums, ["ra_cira"], "ano", "n", years)
 
 
-def occupied_area(areas: DataFrame, years: Sequence[int]) -> DataFrame:
-    return area_by_year(areas, years).groupBy("ra_cira").agg(F.sum("n").alias("areaocupada"))
+def occupied_area(areas: DataFrame) -> DataFrame:
+    """Area occupied in all years."""
+    return areas.groupBy("ra_cira").agg(F.coalesce(F.sum("area_1"), F.lit(0.0)).alias("areaocupada"))
 
 
 def occupied_area_running(areas: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -46,6 +47,7 @@ def population_by_region(survey: Survey) -> DataFrame:
 
 def dwelling_type_by_region(survey: Survey) -> DataFrame:
     """Dwellings by type, wide, in whole numbers."""
+    survey = survey.point
     kind = F.when(member(F.col("B02"), [1, 3, 4]), codes.FLAT).when(F.col("B02") == 2, codes.HOUSE)
     heads = survey.residents.filter(F.col("E02") == 1).select("A01nficha", "A01ra")
     dwellings = survey.by_resident.frame.select("A01setor", "A01nficha", kind.alias("tipo"), "w", "extra")
@@ -54,11 +56,11 @@ def dwelling_type_by_region(survey: Survey) -> DataFrame:
     return round_numeric(spread(totals, ["A01ra"], "tipo", "n", [codes.FLAT, codes.HOUSE]), 0)
 
 
-def density_table(survey: Survey, areas: DataFrame, polygons: DataFrame, years: Sequence[int]) -> DataFrame:
+def density_table(survey: Survey, areas: DataFrame, polygons: DataFrame) -> DataFrame:
     """People per occupied hectare and per hectare of the region, with dwelling types."""
     as_text = F.col("A01ra").cast("string").alias("ra_cira")
-    area = occupied_area(areas, years).withColumn("ra_cira", F.col("ra_cira").cast("string"))
-    people = population_by_region(survey).select(as_text, "RA_nome", "n")
+    area = occupied_area(areas).withColumn("ra_cira", F.col("ra_cira").cast("string"))
+    people = population_by_region(survey.point).select(as_text, "RA_nome", "n")
     types = dwelling_type_by_region(survey).select(as_text, codes.FLAT, codes.HOUSE)
     table = area.join(people, "ra_cira", "left").join(polygons.select("ra_cira", "ra_codigo", "area"), "ra_cira", "left")
     ratios = table.withColumns(

@@ -73,7 +73,7 @@ def _index_part(table: str, date: str, value: str, classe: int) -> str:
     return (
         f"SELECT {classe} AS classe, '2018' || lpad(cast(month({date}) AS VARCHAR), 2, '0') AS ref,"
         f" {_label(f'month({date})', codes.MONTHS)} || ' 2018' AS ref1, cast({value} AS DOUBLE) AS valor"
-        f" FROM {table} WHERE month({date}) BETWEEN 3 AND 10 GROUP BY month({date})"
+        f" FROM {table} GROUP BY month({date})"
     )
 
 
@@ -415,7 +415,7 @@ _BANDS = (
     f" LEFT JOIN ({_CELLS}) c ON c.RA_nome IS NOT DISTINCT FROM r.RA_nome AND c.faixa_renda_ind = b.faixa_renda_ind GROUP BY ALL"
 )
 
-_AREAS = f"SELECT {_fields(standin.OCCUPIED)} FROM orders WHERE {standin.OCCUPIED_KEEP}"
+_AREAS = f"SELECT {_fields(standin.OCCUPIED)} FROM orders"
 _YEARS = [str(y) for y in standin.OCCUPIED_YEARS]
 _AREA_CELLS = (
     "SELECT r.ra_cira, y.ano, coalesce(sum(area_1), 0) AS n FROM (SELECT DISTINCT ra_cira FROM ({a})) r"

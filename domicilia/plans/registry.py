@@ -106,7 +106,7 @@ def recode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_concat(hh: DataFrame) -> DataFrame:
     totals = deficit.region_name(hh.groupBy("A01ra").agg(F.sum("PESO_PRE").alias("n")))
-    return totals.select(F.concat_ws(" ", "RA_nome", F.col("n").cast("long").cast("string")).alias("rotulo"))
+    return totals.select(c.number_label(F.col("RA_nome"), F.col("n")).alias("rotulo"))
 
 
 def scalar_casts(hh: DataFrame) -> DataFrame:
@@ -318,9 +318,13 @@ def _areas(build: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) ->
     return rounded(build(standin.occupied_areas(spark, sf_dir), standin.OCCUPIED_YEARS))
 
 
+def _occupied_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(density.occupied_area(standin.occupied_areas(spark, sf_dir)))
+
+
 def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas, polygons = standin.occupied_areas(spark, sf_dir), standin.region_polygons(spark, sf_dir)
-    return density.density_table(open_survey(spark, sf_dir), areas, polygons, standin.OCCUPIED_YEARS)
+    return density.density_table(open_survey(spark, sf_dir), areas, polygons)
 
 
 def _profile_hierarchies(survey: sv.Survey) -> DataFrame:
@@ -457,7 +461,7 @@ QUERIES: dict[str, Query] = {
     # areas and densities
     "population_by_region": _indicator(density.population_by_region),
     "dwelling_type_by_region": _indicator(density.dwelling_type_by_region),
-    "occupied_area": partial(_areas, density.occupied_area),
+    "occupied_area": _occupied_area,
     "occupied_area_cumulative": partial(_areas, density.occupied_area_cumulative),
     "density_table": _density,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -47,6 +47,9 @@ class Sample:
     def materialize(self) -> Sample:
         return Sample(materialize(self.frame), self.replicates)
 
+    def point(self) -> Sample:
+        return Sample(self.frame, self.replicates.none())
+
 
 class Survey:
     """Dwellings, residents and the price index under one sample design.
@@ -68,6 +71,13 @@ class Survey:
         self.counted = residents if counted is None else counted
         self.index = index
 
+    @cached_property
+    def point(self) -> Survey:
+        """The same survey for estimates without errors; no replicates are drawn for it."""
+        if not self.design.replicates:
+            return self
+        return Survey(self.dwellings, self.residents, self.index, replace(self.design, replicates=0), self.counted)
+
     @cached_property
     def composition(self) -> DataFrame:
         """Residents by dwelling and region, and how many of them want a home of their own."""
@@ -92,6 +102,10 @@ class Survey:
         self.by_resident = self.by_resident.materialize()
         self.heads = self.dwelling_heads = materialize(self.heads)
         self.people = materialize(self.people)
+        point = self.point
+        if point is not self:
+            point.by_dwelling, point.by_resident = self.by_dwelling.point(), self.by_resident.point()
+            point.heads, point.dwelling_heads, point.people = self.heads, self.dwelling_heads, self.people
         return self
 
     @cached_property

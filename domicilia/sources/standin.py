@@ -110,13 +110,13 @@ INDEX_RENT = "round(avg(o_totalprice) / 1000000 + 0.02 * month(o_orderdate), 2)"
 
 
 def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index extract for March to October: (classe, ref, ref1, valor)."""
+    """Index extract of the year: (classe, ref, ref1, valor)."""
     parts = []
     for table, date, value, classe in (
         ("lineitem", "l_shipdate", INDEX_GENERAL, codes.GENERAL_INDEX),
         ("orders", "o_orderdate", INDEX_RENT, codes.RENT_INDEX),
     ):
-        rows = _table(spark, sf_dir, table).withColumn("m", F.month(date)).filter(F.col("m").between(3, 10))
+        rows = _table(spark, sf_dir, table).withColumn("m", F.month(date))
         value = value.replace(f"month({date})", "m")
         parts.append(rows.groupBy("m").agg(F.expr(value).cast("double").alias("valor")).withColumn("classe", F.lit(classe)))
     month = F.col("m")
@@ -134,13 +134,11 @@ OCCUPIED = {
     "area_1": "o_totalprice",
 }
 OCCUPIED_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
-# Leaves cells empty, to be completed with zero.
-OCCUPIED_KEEP = "not (year(o_orderdate) = 1997 and o_orderkey % 33 < 5)"
 
 
 def occupied_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupied-area polygons: region, year, hectares."""
-    return _named(_table(spark, sf_dir, "orders").filter(OCCUPIED_KEEP), OCCUPIED)
+    return _named(_table(spark, sf_dir, "orders"), OCCUPIED)
 
 
 def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,11 @@ def test_path_spells_missing_parts(spark):
     assert values(spark, rows, "a string, b string, c string", c.path_label([F.col(n) for n in "abc"])) == ["1-NA-x"]
 
 
+def test_numbers_of_labels_are_rounded(spark):
+    rows = [("x", 1234.9), (None, 2.0), ("y", None)]
+    assert values(spark, rows, "a string, b double", c.number_label(F.col("a"), F.col("b"))) == ["x 1235", "NA 2", "y NA"]
+
+
 def test_split_in_two(spark):
     frame = spark.createDataFrame([("RA-IX-2",), ("RA",), (None,)], "s string")
     before, after = c.split_two(F.col("s"), "-")

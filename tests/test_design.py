@@ -54,6 +54,25 @@ def test_population_must_be_constant(spark):
         d.post_stratify(frame, DESIGN)
 
 
+@pytest.mark.parametrize(
+    ("column", "value", "error"),
+    [("post", None, "post-stratum"), ("pop", None, "population"), ("weight", 0.0, "no weight"), ("stratum", None, "stratum"), ("psu", None, "PSU")],
+)
+def test_invalid_designs_are_refused(spark, column, value, error):
+    frame = psu_frame(spark, {1: 10})
+    hit = F.lit(True) if column == "weight" else F.col("psu") % 10 == 3
+    broken = frame.withColumn(column, F.when(hit, F.lit(value).cast(frame.schema[column].dataType)).otherwise(F.col(column)))
+    with pytest.raises(Exception, match=error):
+        d.post_stratify(broken, DESIGN).collect()
+
+
+@pytest.mark.parametrize("column", ["stratum", "psu"])
+def test_replicates_need_stratum_and_psu(spark, column):
+    frame = psu_frame(spark, {1: 10}).withColumn(column, F.expr(f"if(psu % 10 = 3, null, {column})"))
+    with pytest.raises(Exception, match="is missing"):
+        d.replicate(frame, DESIGN)
+
+
 @pytest.mark.parametrize("slack", [0.0, 1.0, 6.0, 100.0])
 def test_each_replicate_makes_all_draws(spark, slack):
     """Without slack about half of the replicates overshoot and are drawn one by one."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from domicilia.operators import aggregates as agg
 from domicilia.operators import joins
 from domicilia.operators.polygons import centroids
+from domicilia.plans import density
 
 
 def rows(frame):
@@ -88,6 +89,27 @@ def test_spread_gather_and_complete(spark):
     ]
 
 
+def test_complete_refuses_other_keys(spark):
+    long = spark.createDataFrame([("r", "a", 1.0), ("r", "z", 2.0)], "r string, k string, v double")
+    with pytest.raises(Exception, match="k is not listed: z"):
+        agg.complete(long, ["r"], "k", "v", ["a", "b"]).collect()
+
+
+def test_partition_sum_of_missing_keys(spark):
+    frame = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, None, 4.0), (4, None, 5.0)], "i int, k string, v double")
+    got = agg.partition_sum(frame, F.col("v"), ["k"], "s")
+    assert {r["i"]: r["s"] for r in got.collect()} == {1: 3.0, 2: 3.0, 3: 9.0, 4: 9.0}
+    pairs = agg.partition_sum(frame.withColumn("j", F.lit(1)), F.col("v"), ["j", "k"], "s")
+    assert {r["i"]: r["s"] for r in pairs.collect()} == {1: 3.0, 2: 3.0, 3: 9.0, 4: 9.0}
+
+
+def test_area_of_all_years(spark):
+    areas = spark.createDataFrame([(1, 2000, 5.0), (1, 2005, 7.0)], "ra_cira int, ano int, area_1 double")
+    assert rows(density.occupied_area(areas)) == [(1, 12.0)]
+    with pytest.raises(Exception, match="ano is not listed: 2005"):
+        density.area_by_year(areas, [1999, 2000]).collect()
+
+
 def test_totals_of_nested_groups(spark):
     frame = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), (None, 1, 4.0)], "r string, k int, v double")
     got = agg.total_rows(frame, ["r", "k"], [], [F.sum("v").alias("v")], "all")

@@ -33,6 +33,12 @@ def test_replicates_are_aggregated_before_the_shuffle(spark, sf_dir):
     assert "partial_sum" in first
 
 
+@pytest.mark.parametrize("name", ["precarious_table", "component_totals", "dhde_cells", "headship_rate", "density_table"])
+def test_no_replicates_for_estimates_without_errors(spark, sf_dir, name):
+    plan = "\n".join(plan_of(QUERIES[name](spark, sf_dir)))
+    assert "_words" not in plan and "md5" not in plan
+
+
 def test_windows_span_no_stratum_and_no_dwelling(spark, sf_dir):
     plan = plan_of(QUERIES["bootstrap_factors"](spark, sf_dir))
     keys = [re.search(r"windowspecdefinition\(([^)]*?)(ASC|DESC)", line).group(1) for line in plan if "Window [" in line]
