@@ -195,6 +195,15 @@ def test_language_model(docs, no_docs, texts):
     assert model.run(no_docs).count() == 0
 
 
+def test_language_model_learns_from_every_text(spark):
+    texts = spark.range(8).selectExpr("concat('one text number', id, ' of words') AS text")
+    rows = texts.filter("pmod(xxhash64(text, 11), 8) != 0").limit(1).selectExpr("explode(sequence(1L, 4L)) AS doc_id", "text")
+    model = MaskedLM()
+    network = model.fit(rows, model.frequent_words(rows))
+    fresh = network.fresh(model.window, model.frequent + model.buckets, model.width, model.seed)
+    assert np.abs(network.flat() - fresh.flat()).max() > 0.01
+
+
 def test_network_gradient():
     from domicilia.llm.masked_lm import Network, contexts
 
