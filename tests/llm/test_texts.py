@@ -199,11 +199,32 @@ def test_language_model_learns_from_every_text(spark):
     texts = spark.range(8).selectExpr("concat('one text number', id, ' of words') AS text")
     rows = texts.filter("pmod(xxhash64(text, 11), 8) != 0").limit(1).selectExpr("explode(sequence(1L, 4L)) AS doc_id", "text")
     model = MaskedLM()
-    network = model.fit(rows, model.frequent_words(rows))
+    network = model.fit(rows, model.frequent_words(model.word_counts(rows)))
     fresh = network.fresh(model.window, model.frequent + model.buckets, model.width, model.seed)
     assert np.abs(network.flat() - fresh.flat()).max() > 0.01
 
 
+@pytest.mark.parametrize("common", [1, 1 << 18])
+def test_language_model_tells_words_of_a_bucket_apart(spark, common):
+    # One class for all words: a word has its share of all occurrences.
+    rows = [(1, "aa aa AA bb"), (2, "cc"), (2, "aa cc bb"), (None, None)]
+    got = MaskedLM(frequent=0, buckets=1, common=common).run(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    share = {"aa": 4 / 8, "bb": 2 / 8, "cc": 2 / 8}
+    want = [sum(np.log(share[w]) for w in (t or "").lower().split()) for _, t in rows]
+    assert np.allclose(sorted(r.log_likelihood for r in got), sorted(want))
+    assert sorted(r.n_words for r in got) == [0, 1, 3, 4]
+
+
+def test_bucket_sizes_are_those_of_the_classes(spark):
+    rows = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(400)))], "doc_id long, text string")
+    model = MaskedLM(frequent=5, buckets=7, common=1000)
+    counts = model.word_counts(rows)
+    top = model.frequent_words(counts)
+    totals, words, n = model._bucketed(counts, top)
+    assert len(top) == 5 and len(words) == n.sum() == totals.sum() == 395
+    assert totals.tolist() == np.bincount(model._classes(words, top) - 5, minlength=7).tolist()
+
+
 def test_network_gradient():
     from domicilia.llm.masked_lm import Network, contexts
 
