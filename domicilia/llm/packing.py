@@ -152,13 +152,12 @@ class Packing:
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fast = vocabulary(path).fast
+            known = vocabulary(path)
             for batch in batches:
                 for part in chunks(batch, "text"):
                     rows, pieces = [], []
                     for row, text in enumerate(part.column("text")):
-                        ids = fast.encode_to_numpy(text.as_py() or "", allowed_special="all")
-                        ids = np.append(ids, end).astype("<u4")
+                        ids = np.append(known.encode(text.as_py() or ""), end).astype("<u4")
                         edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                         for n, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
                             rows.append((row, n, low, high - low, zlib.crc32(ids[low:high].tobytes())))

@@ -10,6 +10,7 @@ import json
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import regex
 import tiktoken
 from tokenizers import Tokenizer
@@ -49,6 +50,17 @@ class Vocabulary:
         """
         return all(_cut_alike(self, c) for c in set(self.odd.findall(text)))
 
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text, special strings included.
+
+        The fast encoder gives the library's ids, but gives up on some very long runs of white
+        space; the library itself encodes those.
+        """
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def split(self, text: str) -> list[str]:
         """Pieces of a text that holds no special string."""
         if self.plain(text):

@@ -81,6 +81,17 @@ def test_packing(docs, texts, library):
         assert at <= 2048
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000])
+def test_packing_of_very_long_white_space(spark, library, run):
+    text = f"x{run}y"
+    got = Packing(PATH).run(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")).collect()
+    ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+    pieces = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.piece)
+    assert sum(r.length for r in pieces) == len(ids) and len(got) == len(pieces) + 1
+    for r in pieces:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_places_every_length_once(seed):
     counts = np.random.default_rng(seed).integers(0, 6, 65)
