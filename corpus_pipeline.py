@@ -21,10 +21,15 @@ from domicilia.llm.tables import read, ship, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject, those with empty texts included."""
+    """Documents that the classifier does not reject, those with empty texts included.
+
+    All of them where it could not be fitted: without a trusted positive or a text to learn from.
+    """
     ship(spark)
     classifier = QualityClassifier()
     model = classifier.model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.fitted:
+        return docs
     scored = classifier.scored(docs, model, score="__score")
     return scored.filter(F.col("__score") >= classifier.threshold).select(docs.columns)
 

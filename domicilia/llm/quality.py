@@ -79,6 +79,7 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
     prior: float
+    fitted: bool = True
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -123,10 +124,10 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, confidence: float = 0.05) -
 
 
 def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
-    """The model of two feature matrices. Without positives or unlabelled texts every score is 0.5."""
+    """The model of two feature matrices. Without positives or unlabelled texts it is not fitted and every score is 0.5."""
     both = np.vstack([pos, unl])
     if not len(pos) or not len(unl):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5)
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5, fitted=False)
     mean, scale = both.mean(0), both.std(0) + 1e-3
     pos, unl = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
     halves = [(pos[::2], unl[::2], pos[1::2], unl[1::2]), (pos[1::2], unl[1::2], pos[::2], unl[::2])]

@@ -2,6 +2,7 @@
 
 import __spark_entry__ as driver
 import corpus_pipeline
+import pytest
 
 
 def test_all_are_registered():
@@ -10,6 +11,13 @@ def test_all_are_registered():
     assert "pipeline" in named
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0), (6, 0)]])
+def test_quality_keeps_all_without_positives(spark, docs, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
 def test_stages(spark, sf_dir, docs):
     from domicilia.llm.tables import read, store
 
