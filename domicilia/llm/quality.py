@@ -7,8 +7,8 @@ it, which is kept from falling below zero. The prior is estimated from the same
 samples: a first model ranks both, and the prior is the least ratio, over all thresholds,
 of the unlabelled share above it to the positive share above it.
 
-Fitting takes a bounded sample, the documents with the smallest hashes. Scoring covers all
-rows in one pass without a shuffle.
+Fitting takes a bounded sample, the ids with the smallest hashes and of each the text with the
+least. Scoring covers all rows in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -172,11 +172,13 @@ class QualityClassifier:
             for batch in batches:
                 for part in chunks(batch, "text"):
                     rows = pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), rows], ["doc_id", "good", "x"])
+                    yield pa.RecordBatch.from_arrays([*part.drop_columns("text").columns, rows], ["doc_id", "good", "h", "x"])
 
-        texts = learn.join(F.broadcast(picked), "doc_id").select("doc_id", "good", "text")  # at most 2 * sample ids
-        rows = texts.mapInArrow(convert, "doc_id long, good boolean, x array<double>").orderBy("doc_id", "good", "x")
-        rows = rows.limit(4 * self.sample).toPandas()
+        hashed = F.xxhash64("text").alias("h")
+        texts = learn.join(F.broadcast(picked), "doc_id").select("doc_id", "good", hashed, "text")  # at most 2 * sample ids
+        rows = texts.mapInArrow(convert, "doc_id long, good boolean, h long, x array<double>")
+        rows = rows.groupBy("doc_id", "good").agg(F.min(F.struct("h", "x")).alias("least"))
+        rows = rows.select("doc_id", "good", "least.x").orderBy("doc_id", "good").toPandas()  # at most 2 * sample rows
         x = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)
         is_good = rows["good"].to_numpy(bool)
         return fit(x[is_good], x[~is_good])

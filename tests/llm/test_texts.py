@@ -191,6 +191,18 @@ def test_quality_of_hard_rows(spark, docs, no_docs, texts):
     assert QualityClassifier().run(no_docs, some).count() == 0
 
 
+def test_quality_learns_from_every_picked_id(spark, monkeypatch):
+    from domicilia.llm import quality
+
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda pos, unl: taken.append((len(pos), len(unl))))
+    model = QualityClassifier(sample=3, held=-1)
+    rows = [(1, f"text {k}") for k in range(40)] + [(2, "good text"), (3, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model.model(docs, spark.createDataFrame([(2, 1), (3, 1)], "doc_id long, quality int"))
+    assert taken == [(2, 3)]
+
+
 def test_prior():
     random = np.random.default_rng(1)
     pos, neg = random.normal(2, 1, 4000), random.normal(-3, 1, 4000)
