@@ -35,15 +35,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the smallest id; of rows of one id, the least.
+    """One document of each group of near-duplicates, the smallest id.
 
+    Rows of one id count each for itself, so only those with equal or linked texts are dropped.
     Documents without words and those without id are in no group and stay.
     """
     ship(spark)
-    kept = NearDedup().run(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    known = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
-    return known.select("doc_id", "__row.*").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    known, key = docs.filter("doc_id IS NOT NULL"), "doc_id"
+    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # Numbers in the order of ids; stored, so that they stay as they are.
+        ordered = known.orderBy("doc_id", F.xxhash64("text"), "text")
+        known, key = store(ordered.withColumn("__row", F.monotonically_increasing_id())), "__row"
+    kept = NearDedup().run(known, doc_id=key).filter("kept").select(F.col("doc_id").alias(key))
+    return known.join(kept, key, "left_semi").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,13 @@ def test_quality_keeps_all_without_positives(spark, docs, tmp_path, labels):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    first, other = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    rows = [(1, first), (2, None), (2, first), (2, other), (2, other), (3, other), (None, first)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, first), (2, None), (2, other), (None, first)]))
+
+
 def test_stages(spark, sf_dir, docs):
     from domicilia.llm.tables import read, store
 
