@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,18 +28,28 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared checkpoint folder and go on from there.
+def shared_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The table outlives lost executors, and later steps read only the columns they
-    need. The folder is the one the session names in ``spark.checkpoint.dir``; a
-    temporary one is used only where none is set, as in tests.
+    A temporary folder is used only where none is named and all tasks run on this machine, as
+    in tests; on a cluster executors would not see each other's files there.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="domicilia-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and go on from there.
+
+    The table outlives lost executors, and later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
