@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from domicilia.llm.embedding_dedup import EmbeddingDedup
 from domicilia.llm.masked_lm import MaskedLM
+from domicilia.llm.merkle import ORACLE as MERKLE_SQL
+from domicilia.llm.merkle import MerkleManifest
 from domicilia.llm.mixing import TARGETS, Mixing
 from domicilia.llm.near_dedup import NearDedup
 from domicilia.llm.nearest import NearestNeighbours
@@ -16,6 +18,7 @@ from domicilia.llm.secrets import SecretScan
 from domicilia.llm.substring_dedup import SubstringDedup
 from domicilia.llm.tables import read
 from domicilia.llm.token_count import TokenCount
+from domicilia.llm.token_files import TokenFiles
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EmbeddingDedup().run(read(spark, sf_dir, "embeddings"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TokenFiles(public_tokenizers.path("word_bpe_49k.json")).run(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MerkleManifest().run(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,7 +82,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_token_counts,
         op10_embedding_near_dedup,
+        op11_token_files,
+        op12_merkle_manifest,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": MERKLE_SQL}
