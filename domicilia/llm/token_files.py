@@ -9,14 +9,14 @@ page indexes are written, so a reader of some documents or tokens skips the page
 others, and a reader of the metadata never touches the ids.
 
 A vocabulary whose pieces never span white space gives a text the ids of its words in a row.
-So the distinct words of a run of texts are encoded once, by the library itself, and a worker
-remembers them up to a bound. Other vocabularies are given whole texts.
+So the distinct words of a run of texts are encoded once and put together. Other vocabularies are given whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,21 +25,25 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from domicilia.llm.tables import input_bytes, own
+from domicilia.llm.tokens import byte_letters
 from domicilia.llm.words import chunks
 from domicilia.operators.joins import attach, bounded_side
 from domicilia.session import shared_path
 
-MEMORY_BYTES = 64 << 20
-_WORD_BYTES = 64
-_AT_ONCE = 4096
+_CHUNK_BYTES = 8 << 20
 _UNKNOWN_SIZE = 1 << 60  # what the optimizer says of frames it knows nothing about is larger
 # Fixed value: the cutting pattern that leaves out white space, as the word vocabulary's file states it.
 _WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same on words of printable ASCII and Latin letters up to U+017F, but for the one whose lower case is two code points.
+_PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*$"
+_PLAIN_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]| |[^ a-z0-9\u00df-\u00f6\u00f8-\u017f]+"
+
 
 
 def _by_words(described: dict) -> bool:
@@ -56,61 +60,132 @@ def _by_words(described: dict) -> bool:
     local = all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s.items() >= blanks.items() for s in steps)
     added = described.get("added_tokens") or []
     bare = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in added)
-    return cuts and plain and local and bare and not described.get("truncation") and not described.get("padding")
+    model = described["model"]
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+    bpe = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in odd)
+    return bool(bpe and cuts and plain and local and bare) and not described.get("truncation") and not described.get("padding")
+
+
+def _ranks(model: dict) -> dict[bytes, int]:
+    """Ids of entries as bytes; one at the end of a word has a closing zero byte, which no plain word holds."""
+    letters, end = byte_letters(), model["end_of_word_suffix"]
+    return {bytes(letters[c] for c in token.removesuffix(end)) + b"\0" * token.endswith(end): i for token, i in model["vocab"].items()}
+
+
+def _merged(symbols: list[str], listed: dict[tuple[str, str], int]) -> list[str]:
+    """Symbols after all listed merges, those of lowest rank first."""
+    while len(symbols) > 1:
+        rank, at = min((listed.get(pair, len(listed)), k) for k, pair in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if rank == len(listed):
+            break
+        symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+    return symbols
+
+
+@lru_cache(maxsize=4)
+def merges_alike(path: str) -> bool:
+    """Whether merging any two neighbours that make an entry gives what the file's listed merges give."""
+    with open(path, encoding="utf-8") as f:
+        described = json.load(f)
+    if not _by_words(described):
+        return False
+    model = described["model"]
+    end, vocabulary = model["end_of_word_suffix"], model["vocab"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    singles = len(vocabulary) - len(pairs)
+    numbered = [vocabulary.get(a + b) for a, b in pairs] == list(range(singles, len(vocabulary)))
+    ranks = _ranks(model)
+    symbols = [bytes([b]) + close for b in range(256) for close in (b"", b"\0")]
+    if not numbered or len(ranks) != len(vocabulary) or any(ranks.get(s, singles) >= singles for s in symbols):
+        return False
+    listed = {pair: k for k, pair in enumerate(pairs)}
+    for token in (a + b for a, b in pairs):
+        letters = list(token.removesuffix(end))
+        letters[-1] += end * token.endswith(end)
+        if _merged(letters, listed) != [token]:
+            return False
+    return True
 
 
 class Encoder:
-    """Ids of many texts at a time, by the library, without special tokens around them."""
+    """Ids of many texts at a time, as the library gives them, without special tokens around them.
+
+    The library spends most of its time on keeping track of places while it normalises. Words of
+    printable ASCII and of Latin letters in one code point are changed by lower-casing alone, so those are
+    cut here and their pieces merged by a faster encoder with the vocabulary's own ranks. Other words,
+    and those that hold a special string, go through the library itself.
+
+    The fast encoder merges any two neighbours that make an entry, the library only those the file
+    lists. Both do the same if entries are numbered in the order of the merges and each entry's own symbols
+    merge to it: two other neighbours cannot make it then, since its listed pair would have been
+    there before them. `merges_alike` looks at both, entry by entry; without it the library does all.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, alike: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_words = _by_words(described)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        for low in range(0, len(texts), _AT_ONCE):
-            for found in self.tokenizer.encode_batch_fast(texts[low : low + _AT_ONCE], add_special_tokens=False):
-                yield np.array(found.ids, np.int32).tobytes()
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        missing = [w for w in words if w not in self.known]
-        new = dict(zip(missing, self._ids(missing), strict=True))
-        found = [new[w] if w in new else self.known[w] for w in words]
-        if self.held > MEMORY_BYTES:
-            self.known, self.held = {}, 0
-        kept = {w: ids for w, ids in new.items() if len(w) <= _WORD_BYTES}
-        self.known |= kept
-        self.held += sum(128 + len(w) + len(ids) for w, ids in kept.items())
-        return found
+        self.by_words = alike and _by_words(described)
+        if self.by_words:
+            self.special = [t["content"] for t in described.get("added_tokens") or []]
+            self.cut = re.compile(_PLAIN_PIECES).findall
+            ranks = _ranks(described["model"])
+            self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+            # A blank as a piece of its own stands between words.
+            self.between = ranks[b" \0"]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words in a row, and where each word's start and the last one's end."""
+        pieces = "\0".join([*self.cut(" ".join(words).lower()), ""])
+        ids = self.fast.encode_to_numpy(pieces).astype(np.int32)
+        gaps = ids == self.between
+        starts = np.flatnonzero(gaps) - np.arange(len(words) - 1)
+        return ids[~gaps], np.concatenate([[0], starts, [len(ids) - len(words) + 1]])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in a row, and where each word's start and the last one's end."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for special in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, special))
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        plain = plain.to_numpy(zero_copy_only=False)
+        listed = words.to_numpy(zero_copy_only=False)
+        if plain.all():
+            return self._plain(listed.tolist())
+        odd = [self.whole(w) for w in listed[~plain].tolist()]
+        ids, starts = self._plain(listed[plain].tolist()) if plain.any() else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        sizes = np.zeros(len(listed), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(starts), [len(o) for o in odd]
+        out = np.empty(int(sizes.sum()), np.int32)
+        of_plain = np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = ids, np.concatenate(odd)
+        return out, np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start and the last one's end."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        if self.by_words:
-            split = pc.ascii_split_whitespace(texts)
-            unique = split.flatten().dictionary_encode()
-            words, which = unique.dictionary.to_pylist(), unique.indices.to_numpy(zero_copy_only=False)
-            found = self._words(words)
-            ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        else:
-            found = list(self._ids(texts.to_pylist()))
-            which, ends = np.arange(len(found)), np.arange(len(found) + 1)
-        sizes = np.fromiter((len(f) // 4 for f in found), np.int64, len(found))
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.frombuffer(b"".join(found), np.int32)
-        taken = sizes[which]
+        if not self.by_words:
+            found = [self.whole(t) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum([0, *map(len, found)])
+        split = pc.ascii_split_whitespace(texts)
+        unique = split.flatten().dictionary_encode()
+        which = unique.indices.to_numpy(zero_copy_only=False)
+        flat, starts = self._words(unique.dictionary)
+        ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        taken = np.diff(starts)[which]
         until = np.concatenate([[0], np.cumsum(taken)])
         ids = flat[np.arange(until[-1]) + np.repeat(starts[which] - until[:-1], taken)]
         return ids, until[ends]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, alike: bool) -> Encoder:
+    return Encoder(path, alike)
 
 
 def with_end(ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +238,12 @@ class TokenFiles:
 
     def encoded(self, rows: DataFrame) -> DataFrame:
         """(doc_id, part, before, n_tokens, ids) of sorted range partitions numbered `part`."""
-        path, end = self.path, self.end
+        path, end, alike = self.path, self.end, merges_alike(self.path)
 
         def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, before = encoder(path), 0
+            known, before = encoder(path, alike), 0
             for batch in batches:
-                for piece in chunks(batch, "text"):
+                for piece in chunks(batch, "text", _CHUNK_BYTES):
                     ids, starts = with_end(*known.encode(piece.column("text")), end)
                     columns = [
                         piece.column("doc_id"),

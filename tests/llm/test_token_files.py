@@ -12,13 +12,20 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from domicilia.llm.token_files import TokenFiles, encoder, read_documents, read_tokens
+from domicilia.llm.token_files import Encoder, TokenFiles, merges_alike, read_documents, read_tokens
 from domicilia.session import shared_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ENCODERS = {}
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def encoder(path):
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path, merges_alike(path))
+    return ENCODERS[path]
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(PATH)
@@ -102,7 +109,10 @@ def test_selective_reads(spark, written, expected):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=4), st.sampled_from([" ", "\n\x0b", "\x1c", " ́", "<|endoftext|>", "'S"]))
+@given(
+    st.lists(st.one_of(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), st.text(st.characters(max_codepoint=0x1FF), max_size=12)), max_size=4),
+    st.sampled_from([" ", "\n\x0b", "\x1c", " ́", "<|endoftext|>", "'S", "ß'LLÄ"]),
+)
 def test_words_give_the_ids_of_the_text(parts, glue):
     library, text = encoder(PATH).tokenizer, glue.join(parts)
     ids, starts = encoder(PATH).encode(pa.array([text, None, text]))
@@ -110,6 +120,15 @@ def test_words_give_the_ids_of_the_text(parts, glue):
     assert encoder(PATH).by_words and ids.tolist() == whole * 2 and starts.tolist() == [0, len(whole), len(whole), 2 * len(whole)]
 
 
+def test_every_common_character(library):
+    """Alone, doubled, and between letters, digits and signs."""
+    chars = [chr(c) for c in [*range(0x250), *range(0x300, 0x310), 0x3A3, 0x3C2, 0x212B, 0x1E9E]]
+    words = [w for c in chars for w in (c, f"a{c}B{c}", f"1{c}2", f"'{c}'{c}", f"{c}e\u0301")]
+    ids, starts = encoder(PATH).encode(pa.array(words))
+    for k, word in enumerate(words):
+        assert ids[starts[k] : starts[k + 1]].tolist() == library.encode(word, add_special_tokens=False).ids, repr(word)
+
+
 def test_other_vocabularies_get_whole_texts(texts):
     known = encoder(BYTES)
     assert not known.by_words
