@@ -19,6 +19,7 @@ from domicilia.llm.substring_dedup import SubstringDedup
 from domicilia.llm.tables import read
 from domicilia.llm.token_count import TokenCount
 from domicilia.llm.token_files import TokenFiles
+from domicilia.llm.whitening import Whitening
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MerkleManifest().run(read(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Whitening().run(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES = {
         op10_embedding_near_dedup,
         op11_token_files,
         op12_merkle_manifest,
+        op13_embedding_whitening,
     )
 }
 
