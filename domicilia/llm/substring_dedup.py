@@ -180,7 +180,7 @@ def _cut(part: pa.RecordBatch, width: int, seed: int, buckets: int) -> Iterator[
     place = kmers.low - words.first[kmers.row]
     stop = kmers.high + width - 1
     a = _string_key(hashes, kmers.low, stop, _STEPS[0])
-    b = _string_key(mix(hashes ^ _OTHER), kmers.low, stop, _STEPS[1])
+    b = _string_key(words.hashes(seed=1), kmers.low, stop, _STEPS[1])
     order = np.lexsort((tag, place, doc, b, a))
     equal = _same(a[order], b[order])
     settled = _later(order, equal, doc, place, tag)
@@ -240,7 +240,7 @@ def _windows(head: np.ndarray, body: bytes, width: int, turn: int, passes: int)
     shift = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     start = shift + np.repeat(words.first[:-1], counts)
     a = words.runs(hashes, width)[start]
-    b = words.runs(mix(hashes ^ _OTHER), width)[start]
+    b = words.runs(words.hashes(seed=1), width)[start]
     out = (a, b, np.repeat(doc, counts), np.repeat(tag, counts), np.repeat(place, counts) + shift)
     if passes == 1:
         return out

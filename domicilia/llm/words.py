@@ -18,11 +18,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _random = np.random.Generator(np.random.PCG64(20240607))
 _odd = lambda *n: _random.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
-_BYTES = _odd(256)
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _BYTES[97:123]
-_BASE = int(_odd(1)[0])
 _PLACES = _odd(64)
+# A random number for each byte at each place of a block, for two independent hashes.
+_BLOCK_BYTES = 64
+_SEEDS = tuple(_odd(_BLOCK_BYTES, 256) for _ in range(2))
+_FOLDED = tuple(t.copy() for t in _SEEDS)
+for _t in _FOLDED:
+    _t[:, 65:91] = _t[:, 97:123]
+_STEPS = _odd(4)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,18 +90,31 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
-        """64 bits for each word; `fold` takes A-Z as a-z."""
-        table = _FOLDED if fold else _BYTES
+    def hashes(self, fold: bool = False, seed: int = 0) -> np.ndarray:
+        """64 bits for each word; `fold` takes A-Z as a-z, and seeds 0 and 1 are independent.
+
+        The bytes of a block of a word add up random numbers of their places. A block's sum is scrambled
+        with the block's own place before the blocks are added, so no rule of arithmetic that holds for
+        whole words makes two of them equal.
+        """
+        table = (_FOLDED if fold else _SEEDS)[seed].ravel()
         out = np.empty(len(self.starts), np.uint64)
         for low in range(0, len(out), _BLOCK_WORDS):
             starts, ends = self.starts[low : low + _BLOCK_WORDS], self.ends[low : low + _BLOCK_WORDS]
             lengths = ends - starts
             at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-            values = table[self.data[place + np.repeat(starts, lengths)]] * _powers(int(lengths.max()))[place]
-            out[low : low + len(starts)] = np.add.reduceat(values, at) + lengths.astype(np.uint64)
-        return mix(out)
+            values = table[((place % _BLOCK_BYTES) << 8) + self.data[place + np.repeat(starts, lengths)]]
+            blocks = -(-lengths // _BLOCK_BYTES)
+            if len(lengths) and lengths.max() <= _BLOCK_BYTES:
+                total = mix(np.add.reduceat(values, at) ^ _STEPS[seed])
+            else:
+                first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+                number = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+                sums = np.add.reduceat(values, np.repeat(at, blocks) + number * _BLOCK_BYTES)
+                total = np.add.reduceat(mix(sums ^ (_STEPS[seed] * (2 * number + 1).astype(np.uint64))), first)
+            out[low : low + len(starts)] = mix(total + _STEPS[2 + seed] * lengths.astype(np.uint64))
+        return out
 
     def runs(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """64 bits for `width` words from each word on, whatever document they are in."""
@@ -109,18 +125,6 @@ class Words:
         return mix(total)
 
 
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 2 * len(_POWERS), 1024), _BASE, np.uint64)
-        steps[0] = 1
-        _POWERS = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
-
-
 def shingle_sets(column: pa.Array | pa.ChunkedArray, width: int = 5) -> list[np.ndarray]:
     """For each text its sorted distinct shingles, in 64 bits, of case-folded words.
 

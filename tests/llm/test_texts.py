@@ -6,10 +6,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from domicilia.llm.masked_lm import MaskedLM
 from domicilia.llm.mixing import TARGETS, Mixing, rake
 from domicilia.llm.near_dedup import NearDedup
 from domicilia.llm.packing import Packing, best_fit, plan_ranges
@@ -209,62 +209,45 @@ def test_prior():
     assert abs(estimate_prior(pos[:2000], np.concatenate([pos[2000:], neg[:500]])) - 0.8) < 0.05
 
 
-def test_language_model(docs, no_docs, texts):
-    model = MaskedLM(one_in=1)
-    got = model.run(docs).collect()
-    assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(i), len(WORD.findall(t))) for i, t in texts)
-    assert all((r.mean_log_probability is None) == (r.n_words == 0) and r.log_likelihood <= 0 for r in got)
-    assert len({r.log_likelihood for r in got if r.doc_id == 12}) == 1
-    assert model.run(no_docs).count() == 0
-
-
-def test_language_model_learns_from_every_text(spark):
-    texts = spark.range(8).selectExpr("concat('one text number', id, ' of words') AS text")
-    rows = texts.filter("pmod(xxhash64(text, 11), 8) != 0").limit(1).selectExpr("explode(sequence(1L, 4L)) AS doc_id", "text")
-    model = MaskedLM()
-    network = model.fit(rows, model.frequent_words(model.word_counts(rows)))
-    fresh = network.fresh(model.window, model.frequent + model.buckets, model.width, model.seed)
-    assert np.abs(network.flat() - fresh.flat()).max() > 0.01
-
-
-@pytest.mark.parametrize("common", [1, 1 << 18])
-def test_language_model_tells_words_of_a_bucket_apart(spark, common):
-    # One class for all words: a word has its share of all occurrences.
-    rows = [(1, "aa aa AA bb"), (2, "cc"), (2, "aa cc bb"), (None, None)]
-    got = MaskedLM(frequent=0, buckets=1, common=common).run(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    share = {"aa": 4 / 8, "bb": 2 / 8, "cc": 2 / 8}
-    want = [sum(np.log(share[w]) for w in (t or "").lower().split()) for _, t in rows]
-    assert np.allclose(sorted(r.log_likelihood for r in got), sorted(want))
-    assert sorted(r.n_words for r in got) == [0, 1, 3, 4]
-
-
-def test_bucket_sizes_are_those_of_the_classes(spark):
-    rows = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(400)))], "doc_id long, text string")
-    model = MaskedLM(frequent=5, buckets=7, common=1000)
-    counts = model.word_counts(rows)
-    top = model.frequent_words(counts)
-    totals, words, n = model._bucketed(counts, top)
-    assert len(top) == 5 and len(words) == n.sum() == totals.sum() == 395
-    assert totals.tolist() == np.bincount(model._classes(words, top) - 5, minlength=7).tolist()
-
-
-def test_network_gradient():
-    from domicilia.llm.masked_lm import Network, contexts
-
-    words = np.array([0, 1, 2, 3] * 50)
-    around = contexts(words, np.array([0, len(words)]), 2, 8)
-    assert around[0].tolist() == [8, 8, 1, 2] and around[-1].tolist() == [1, 2, 8, 8]
-    network = Network.fresh(2, 8, 4, 1)
-    state = [np.full_like(p, 1e-4) for p in network.parts]
-    before = network.log_probabilities(around, words).sum()
-    for _ in range(100):
-        network.train(around, words, 0.1, state)
-    assert network.log_probabilities(around, words).mean() > -0.1 > before / len(words)
-
-
 @pytest.mark.parametrize("run", [
     NearDedup().run, Packing(PATH).run, SecretScan().run, TokenCount(PATH).run,
     lambda d: SubstringDedup().run(d, with_text=False),
 ])
 def test_empty_table(run, no_docs):
     assert run(no_docs).count() == 0
+
+
+def _unlike_words(n):
+    """Two words of n letters that polynomials of wrapping numbers cannot tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart(spark):
+    """Different words of one length and letter count have different hashes, so they link and repeat nothing."""
+    from domicilia.llm.words import Words
+
+    one, other = _unlike_words(1024)
+    words = Words.of(pa.array([f"{one} {other} {one}"]))
+    for fold in (False, True):
+        for seed in (0, 1):
+            a, b, again = words.hashes(fold, seed).tolist()
+            assert a == again != b
+    rows = [(1, " ".join([one] * 20)), (2, " ".join([other] * 20)), (3, " ".join([one] * 20))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in NearDedup().run(frame).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_removed for r in SubstringDedup().run(frame).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_hashes_of_many_words():
+    """No two of many short and long words agree in either hash; case folds only where asked."""
+    from domicilia.llm.words import Words
+
+    words = [f"w{k}" for k in range(20000)] + ["x" * k for k in range(1, 400)] + ["x" * 64 + c for c in "abc"] + ["Äb", "äb", "AB", "ab"]
+    cut = Words.of(pa.array([" ".join(words)]))
+    for seed in (0, 1):
+        assert len(set(cut.hashes(seed=seed).tolist())) == len(words)
+    folded = cut.hashes(fold=True).tolist()
+    assert folded[-1] == folded[-2] and folded[-3] != folded[-4]
