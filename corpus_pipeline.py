@@ -60,14 +60,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn towards the target weights; those without words change no weight and stay."""
+    """Documents drawn towards the target weights; those without words change no weight and stay.
+
+    Rows without id draw like an empty id and rows of one id alike. Other columns of `docs` pass unchanged.
+    """
     ship(spark)
-    drawn = Mixing(TARGETS).weighted(described(docs))
-    return drawn.filter("sampled OR n_tokens = 0").select(docs.columns)
+    rows = described(docs, topic="__topic", tokens="__tokens")
+    drawn = Mixing(TARGETS).weighted(rows, tokens="__tokens", columns={"topic": "__topic"}, prefix="__")
+    return drawn.filter("__sampled OR __tokens = 0").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of every document in sequences of 2048 tokens."""
+    """The place of each piece of every document in sequences of 2048 tokens, rows without id or of one id each for itself."""
     ship(spark)
     return Packing(public_tokenizers.path("byte_bpe_50k.json")).run(docs)
 
