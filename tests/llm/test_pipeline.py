@@ -7,7 +7,7 @@ import pytest
 
 def test_all_are_registered():
     named = driver.queries()
-    assert {n.split("_")[0] for n in named if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in named if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in named
 
 
@@ -37,3 +37,22 @@ def test_stages(spark, sf_dir, docs):
                 before = rows.count()
         assert rows.filter("length > 2048 OR offset + length > 2048").count() == 0
         assert rows.select("doc_id").distinct().count() <= before
+
+
+def test_mixing_keeps_other_columns(spark, sf_dir, docs):
+    """Columns that are named like those the stage works with keep their values."""
+    from pyspark.sql import functions as F
+
+    names = ["topic", "n_tokens", "tokens", "factor", "probability", "u", "weight", "sampled"]
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(0))) for c in names})
+    kept = corpus_pipeline.mixing(spark, wide, sf_dir)
+    assert kept.columns == wide.columns
+    plain = sorted(str(r.doc_id) for r in corpus_pipeline.mixing(spark, docs, sf_dir).collect())
+    rows = kept.collect()
+    assert sorted(str(r.doc_id) for r in rows) == plain
+    assert all(r[c] == f"{c}{r.doc_id or 0}" for r in rows for c in names)
+
+
+def test_stages_on_nothing(spark, sf_dir, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, sf_dir).count() == 0, name
