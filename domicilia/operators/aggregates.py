@@ -8,8 +8,14 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from domicilia.operators.joins import hot_keys, join_to_unique, null_safe_left_join
+from domicilia.operators.prefix import dense_ranks
+from domicilia.session import materialize
+
+LISTED_KEYS = 5_000
+WIDE_KEYS = 1_000
 
 
 def strict_sum(value: Column, where: Column | None = None) -> Column:
@@ -58,14 +64,11 @@ def partition_sum(frame: DataFrame, value: Column, by: Sequence[str], name: str)
 
 
 def rank_groups(frame: DataFrame, group: str, statistic: Column, name: str = "rank") -> DataFrame:
-    """Position of each group by a statistic of its rows (sum, max, ...).
-
-    The input is a result table with one row per cell, so that the groups, which are
-    all that is ranked in one place, are few.
-    """
-    order = frame.groupBy(group).agg(statistic.alias("_stat"))
-    ranked = order.select(group, F.dense_rank().over(Window.orderBy("_stat")).alias(name))
-    return frame.join(ranked, group, "left")
+    """Position of each group by a statistic of its rows (sum, max, ...), however many groups there are."""
+    # Stored, since sums of doubles made twice may differ in their last bits.
+    order = materialize(frame.groupBy(group).agg(statistic.alias("_stat")))
+    ranked = null_safe_left_join(order, dense_ranks(order, "_stat", name), ["_stat"]).drop("_stat")
+    return null_safe_left_join(frame, ranked, [group])
 
 
 def spread(frame: DataFrame, rows: Sequence[str], key: str, value: str, keys: Sequence, fill: float | None = None) -> DataFrame:
@@ -75,6 +78,48 @@ def spread(frame: DataFrame, rows: Sequence[str], key: str, value: str, keys: Se
     return wide if fill is None else wide.fillna(fill, subset=[str(k) for k in keys])
 
 
+def known_keys(frame: DataFrame, key: str, limit: int = LISTED_KEYS) -> list | None:
+    """The distinct values of a column in order, NULL first; None if there are more than `limit`."""
+    rows = frame.select(key).distinct().limit(limit + 1).collect()
+    return sorted((r[0] for r in rows), key=lambda k: (k is not None, k)) if len(rows) <= limit else None
+
+
+def spread_open(frame: DataFrame, rows: Sequence[str], key: str, value: str, fill: float | None = None) -> DataFrame:
+    """Long to wide over all key values that occur, one column each; a NULL key becomes the column `NA`."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit("NA"))
+    keys = known_keys(frame.select(key, text.alias("_name")).distinct().select("_name"), "_name", WIDE_KEYS)
+    if keys is None:
+        raise ValueError(f"{key} has more than {WIDE_KEYS} values, too many for columns")
+    return spread(frame.withColumn(key, text), rows, key, value, keys, fill)
+
+
+def complete_open(
+    frame: DataFrame, rows: Sequence[str], key: str, value: str, limit: int = LISTED_KEYS, salts: int = 64
+) -> DataFrame:
+    """Every row with every key that occurs anywhere; cells that were missing or NULL are zero.
+
+    The keys need not be known before. Up to `limit` of them are fetched and listed in the plan;
+    beyond, rows and keys are both dealt over `salts` parts and meet there. NULL is a row
+    or key like any other. A second cell for one row and key is an error.
+    """
+    rows = list(rows)
+    twice = F.raise_error(F.concat(F.lit(f"{key} has two cells in one row: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    one = F.when(F.count(F.lit(1)) <= 1, F.max(value)).otherwise(twice.cast(frame.schema[value].dataType))
+    cells = frame.groupBy(*rows, key).agg(one.alias(value))
+    groups = frame.select(*rows).distinct()
+    keys = known_keys(frame, key, limit)
+    if keys is not None:
+        kind = frame.schema[key].dataType
+        listed = F.array(*[F.lit(k).cast(kind) for k in keys]) if keys else F.array().cast(ArrayType(kind))
+        grid = groups.withColumn(key, F.explode(listed))
+    else:
+        salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = frame.select(key).distinct().withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        grid = salted.join(dealt.hint("shuffle_hash"), "_salt").select(*rows, key)
+    filled = null_safe_left_join(grid, cells, [*rows, key])
+    return filled.select(*rows, key, F.coalesce(value, F.lit(0).cast(frame.schema[value].dataType)).alias(value))
+
+
 def gather(frame: DataFrame, ids: Sequence[str], columns: Sequence[str], key: str, value: str) -> DataFrame:
     """Wide to long."""
     return frame.unpivot(list(ids), list(columns), key, value)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ _DRAW_CHUNK = 4096
 _DRAWS_PER_TASK = 500_000
 # A stratum's row holds arrays, so fewer of them count as small.
 _STRATUM_ROW = 10
+DRAWS = "struct<scale: double, counts: array<smallint>>"
 
 
 @dataclass(frozen=True)
@@ -106,35 +109,59 @@ def _bucket(design: Design) -> Column:
     return F.expr(f"cast(pmod({text}, {design.buckets}) as int) as _bucket")
 
 
-def _stir(frame: DataFrame, column: str) -> DataFrame:
-    """Scatter a 32-bit number held in a long: shift, multiply, twice over.
+def _counter(replicates: int):
+    """Counts of each PSU in replicates 1..R, for whole columns of PSUs at a time.
 
-    One column per step, because each step reads the one before it twice.
+    The independent count is that of a Poisson variable whose distribution function comes with
+    `steps`, at a 52-bit number hashed from seed, stratum, PSU and replicate; it is kept in the
+    replicates that `keep` marks, all where it is NULL. `extra` draws come on top. A PSU alone in
+    its stratum counts once. The first place stands for the full sample.
     """
-    shifted = f"({column} ^ shiftright({column}, 16))"
-    step = F.expr(f"({shifted} * {_MULTIPLIER}L) & {_WORD}L")
-    return frame.withColumn(column, step).withColumn(column, step).withColumn(column, F.expr(shifted))
 
-
-def _with_counts(frame: DataFrame, design: Design) -> DataFrame:
-    """One row per replicate 0..R, with `_k`, the PSU's independent count in it.
-
-    The count is that of a Poisson variable whose rate comes with `_steps`, at a
-    52-bit number hashed from seed, stratum, PSU and replicate. Everything runs in
-    generated code; a digest is taken once per row, not per replicate.
-    """
-    halves = "array(substring(_md5, 1, 8), substring(_md5, 9, 8))"
+    def stirred(x: np.ndarray) -> np.ndarray:
+        """Scatters 32-bit numbers held in 64 bits: shift, multiply, twice over."""
+        for _ in range(2):
+            x = ((x ^ (x >> np.uint64(16))) * np.uint64(_MULTIPLIER)) & np.uint64(_WORD)
+        return x ^ (x >> np.uint64(16))
+
+    def grid(column: pa.Array, kind: str) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+    def count(first: pa.Array, second: pa.Array, n_h: pa.Array, steps: pa.Array, keep: pa.Array, extra: pa.Array) -> pa.Array:
+        rows = len(first)
+        turns = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(_STRIDE)
+        a = stirred((first.to_numpy().astype(np.uint64)[:, None] + turns) & np.uint64(_WORD))
+        b = stirred(a ^ second.to_numpy().astype(np.uint64)[:, None])
+        uniform = (a * np.uint64(1 << 20) + (b >> np.uint64(12))).astype(np.float64) / 2.0**52
+        out = np.zeros((rows, replicates + 1), np.int16)
+        for step in grid(steps, "f8").T if rows else ():
+            passed = uniform >= step[:, None]
+            if not passed.any():
+                break
+            out[:, 1:] += passed
+        if keep.null_count == 0 and rows:
+            out[:, 1:] *= grid(keep, "i2")
+        with_extra = np.flatnonzero(extra.is_valid().to_numpy(zero_copy_only=False))
+        if len(with_extra):
+            out[with_extra, 1:] += grid(extra.drop_null(), "i2")
+        out[n_h.to_numpy() == 1] = 1
+        edges = pa.array(np.arange(rows + 1, dtype=np.int32) * (replicates + 1))
+        return pa.ListArray.from_arrays(edges, pa.array(out.ravel()))
+
+    return F.arrow_udf(count, "array<smallint>")
+
+
+def _with_counts(frame: DataFrame, strata: Side, design: Design, extra: DataFrame | None = None) -> DataFrame:
+    """The frame with n_h and `_counts`, made in one pass over its PSUs; a digest is taken once a row."""
     digested = frame.withColumn("_md5", F.expr(_digest(design, f"`{design.psu}`")))
-    # A lambda ends the stretch of generated code before it. Without it, this and every
-    # other column of the row would be evaluated anew inside the loop over replicates.
-    keyed = digested.withColumn("_words", F.expr(f"transform({halves}, h -> {_hex('h', 1, 8)})")).drop("_md5")
-    unfolded = keyed.withColumn("rep", F.expr(f"explode(sequence(0, {design.replicates}))"))
-    moved = unfolded.withColumn("_a", F.expr(f"(get(_words, 0) + rep * {_STRIDE}L) & {_WORD}L"))
-    stirred = _stir(_stir(moved, "_a").withColumn("_b", F.expr("_a ^ get(_words, 1)")), "_b")
-    uniform = stirred.withColumn("_u", F.expr(f"(_a * {2**20}L + shiftright(_b, 12)) / {2.0**52}D"))
-    uniform = uniform.drop("_words", "_a", "_b")
-    arms = " ".join(f"when _u < get(_steps, {k}) then {k}" for k in range(_POISSON_TERMS))
-    return uniform.withColumn("_k", F.expr(f"case {arms} else {_POISSON_TERMS} end")).drop("_u")
+    words = {"_first": F.expr(_hex("_md5", 1, 8)), "_second": F.expr(_hex("_md5", 9, 8))}
+    sized = attach(digested.withColumns(words).drop("_md5"), strata, [design.stratum], [design.psu])
+    none = {"_keep": "array<boolean>", "_extra": "array<smallint>"}
+    if extra is not None:
+        sized = sized.join(extra, [design.stratum, design.psu], "left")
+    sized = sized.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items() if c not in sized.columns})
+    inputs = ["_first", "_second", "n_h", "_steps", "_keep", "_extra"]
+    return sized.withColumn("_counts", _counter(design.replicates)(*inputs)).drop("_first", "_second", "_steps", "_keep", "_extra")
 
 
 def _poisson_steps(rate: str) -> Column:
@@ -157,7 +184,8 @@ def _strata(sizes: Side, design: Design) -> Side:
 
 def _fills(counts: DataFrame, design: Design) -> DataFrame:
     """Per stratum: which replicates keep their independent counts, and the draws left."""
-    sums = counts.filter("rep > 0").groupBy(design.stratum, "n_h", "rep").agg(F.sum("_k").alias("_sum"))
+    unfolded = counts.select(design.stratum, "n_h", F.posexplode("_counts").alias("rep", "_k")).filter("rep > 0")
+    sums = unfolded.groupBy(design.stratum, "n_h", "rep").agg(F.sum("_k").alias("_sum"))
     listed = sums.groupBy(design.stratum, "n_h").agg(F.expr("array_sort(collect_list(struct(rep, _sum))) as _sums"))
     left = "if(s._sum <= n_h - 1, n_h - 1 - s._sum, n_h - 1)"
     return listed.select(
@@ -204,19 +232,17 @@ def _numbered(psus: DataFrame, sizes: Side, design: Design) -> DataFrame:
 
 @dataclass(frozen=True)
 class Replicates:
-    """Bootstrap replicates of a sample: a row per stratum, and a column on the sample.
+    """Bootstrap replicates of a sample, held in a column of its frames.
 
-    strata   n_h, `_steps` and `_keep` of each stratum
-    The sample's frames carry `extra`, the explicit draws of a PSU per replicate,
-    NULL for most PSUs. Without replicates there are no `strata`.
+    `draws` is a PSU's number of draws in each replicate, the place of the full sample first, and
+    the scale that makes factors of them. It is NULL without replicates.
     """
 
     design: Design
-    strata: Side | None
 
     def none(self) -> Replicates:
         """For estimates without errors."""
-        return Replicates(replace(self.design, replicates=0), None)
+        return Replicates(replace(self.design, replicates=0))
 
     def unfold(self, frame: DataFrame) -> DataFrame:
         """One row per replicate, with the `factor` on the weight of its PSU.
@@ -224,11 +250,10 @@ class Replicates:
         Replicate 0 is the full sample. `frame` may hold members of PSUs and any
         part of the sample.
         """
-        design = self.design
-        sized = attach(frame, self.strata, [design.stratum], [design.psu])
-        count = "(if(get(_keep, rep - 1), _k, 0) + coalesce(get(extra, rep - 1), 0S))"
-        factor = F.expr(f"case when rep = 0 or n_h = 1 then 1D else {count} * (n_h / (n_h - 1)) end")
-        return _with_counts(sized, design).withColumn("factor", factor).drop("n_h", "_steps", "_keep", "_k", "extra")
+        kept = [c for c in frame.columns if c != "draws"]
+        scaled = frame.select(*kept, F.col("draws.scale").alias("_scale"), F.col("draws.counts").alias("_counts"))
+        unfolded = scaled.select(*kept, "_scale", F.posexplode("_counts").alias("rep", "_k"))
+        return unfolded.withColumn("factor", F.expr("if(rep = 0, 1D, _k * _scale)")).drop("_k", "_scale")
 
 
 def replicate(psus: DataFrame, design: Design) -> tuple[DataFrame, Replicates]:
@@ -248,19 +273,16 @@ def replicate(psus: DataFrame, design: Design) -> tuple[DataFrame, Replicates]:
     replicate, they are dropped there and all of its draws are made one by one.
     """
     if not design.replicates:
-        return psus.withColumn("extra", F.lit(None).cast("array<smallint>")), Replicates(design, None)
+        return psus.withColumn("draws", F.lit(None).cast(DRAWS)), Replicates(design)
     bucketed = psus.select(design.stratum, _placed(design, _bucket(design)).alias("_bucket"))
     sizes = bounded_side(bucketed.groupBy(design.stratum, "_bucket").agg(F.count("*").alias("_n")), design.side_limit)
     strata = _strata(sizes, design)
-    counts = _with_counts(
-        attach(psus.select(design.stratum, design.psu), strata, [design.stratum], [design.psu]), design
-    )
-    fills = _fills(counts, design)
+    fills = _fills(_with_counts(psus.select(design.stratum, design.psu), strata, design), design)
     strata = bounded_side(strata.frame.join(fills, design.stratum), design.side_limit // _STRATUM_ROW)
     if not strata.bounded:
         strata = Side(materialize(strata.frame), False)
     times = "cast(size(filter(_drawn, d -> d = r)) as smallint)"
-    dense = f"transform(sequence(0, {design.replicates - 1}), r -> {times}) as extra"
+    dense = f"transform(sequence(0, {design.replicates - 1}), r -> {times}) as _extra"
     extra = (
         _numbered(psus, sizes, design)
         .join(_targets(strata, design), [design.stratum, "_idx"])
@@ -268,11 +290,12 @@ def replicate(psus: DataFrame, design: Design) -> tuple[DataFrame, Replicates]:
         .agg(F.collect_list("_pos").alias("_drawn"))
         .select(design.stratum, design.psu, F.expr(dense))
     )
-    frame = psus.join(extra, [design.stratum, design.psu], "left")
-    return frame, Replicates(design, strata.map(lambda s: s.drop("_fill")))
+    counted = _with_counts(psus, strata.map(lambda s: s.drop("_fill")), design, extra)
+    scale = F.expr("if(n_h = 1, 1D, try_divide(n_h, n_h - 1))").alias("scale")
+    return counted.withColumn("draws", F.struct(scale, F.col("_counts").alias("counts"))).drop("n_h", "_counts"), Replicates(design)
 
 
 def factors(frame: DataFrame, replicates: Replicates) -> DataFrame:
     """Replicate factors in long form: one row per PSU and replicate."""
     keys = [replicates.design.stratum, replicates.design.psu]
-    return replicates.unfold(frame.select(*keys, "extra")).filter("rep > 0").select(*keys, "rep", "factor")
+    return replicates.unfold(frame.select(*keys, "draws")).filter("rep > 0").select(*keys, "rep", "factor")

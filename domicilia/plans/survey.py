@@ -135,7 +135,7 @@ class Survey:
         income = self.residents.select(
             "A01nficha", "A01ra", "E02", "idade_calculada", *PERSON_CODES, individual_income().alias("renda_individual")
         )
-        own = self.by_resident.frame.select("A01nficha", "A01setor", "datavisita", "w", "extra")
+        own = self.by_resident.frame.select("A01nficha", "A01setor", "datavisita", "w", "draws")
         joined = join_to_unique(income, with_inflators(own, self.index), ["A01nficha"], "inner", self.hot)
         real = joined.withColumn("renda_individual_real", F.col("renda_individual") * F.col("inflator_geral"))
         return real.withColumns(

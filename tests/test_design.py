@@ -141,7 +141,7 @@ def test_few_draws_are_moved(spark):
     _, replicates = d.replicate(frame, DESIGN)
     sizes = d.bounded_side(frame.select("stratum", d._bucket(DESIGN)).groupBy("stratum", "_bucket").agg(F.count("*").alias("_n")))
     strata = d._strata(sizes, DESIGN)
-    local = d._with_counts(d.attach(frame, strata, ["stratum"], ["psu"]), DESIGN)
+    local = d._with_counts(frame, strata, DESIGN)
     fill = d._fills(local, DESIGN).first()["_fill"]
     assert max(fill) < 12 * n**0.5 and min(fill) > 0
 

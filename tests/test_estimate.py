@@ -30,7 +30,7 @@ def sample(spark):
 def plain(sample):
     """Person weights per replicate, 0 being the full sample."""
     frame, replicates = sample
-    rows = frame.drop("extra").toPandas().set_index("psu")
+    rows = frame.drop("draws").toPandas().set_index("psu")
     wide = d.factors(frame, replicates).toPandas().pivot(index="psu", columns="rep", values="factor")
     wide.insert(0, 0, 1.0)
     return rows, wide.mul(rows["w"], axis=0)

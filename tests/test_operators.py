@@ -169,3 +169,37 @@ def test_spread_refuses_a_second_cell(spark):
     frame = spark.createDataFrame([("a", "k", 1.0), ("a", "k", 9.0)], "row string, key string, v double")
     with pytest.raises(Exception, match="two cells"):
         agg.spread(frame, ["row"], "key", "v", ["k"]).collect()
+
+
+# Key domains that are not known before
+
+
+@pytest.mark.parametrize("limit", [100, 1])
+def test_complete_open(spark, limit):
+    rows = [("a", 1, 5.0), ("a", None, 2.0), ("b", 7, None), (None, 1, 3.0)]
+    cells = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {(r.g, r.k): r.v for r in agg.complete_open(cells, ["g"], "k", "v", limit=limit, salts=5).collect()}
+    known = {(g, k): v or 0.0 for g, k, v in rows}
+    assert got == {(g, k): known.get((g, k), 0.0) for g in ("a", "b", None) for k in (1, 7, None)}
+    assert agg.complete_open(cells.limit(0), ["g"], "k", "v", limit=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [100, 1])
+def test_complete_open_refuses_second_cells(spark, limit):
+    cells = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 2.0), ("b", 2, 1.0)], "g string, k int, v double")
+    with pytest.raises(Exception, match="two cells"):
+        agg.complete_open(cells, ["g"], "k", "v", limit=limit).collect()
+
+
+def test_spread_open(spark):
+    cells = spark.createDataFrame([("a", 1, 5.0), ("a", None, 2.0), ("b", 7, None)], "g string, k int, v double")
+    wide = agg.spread_open(cells, ["g"], "k", "v", 0.0)
+    assert wide.columns == ["g", "1", "7", "NA"]
+    assert sorted(map(tuple, wide.collect())) == [("a", 5.0, 0.0, 2.0), ("b", 0.0, 0.0, 0.0)]
+
+
+def test_rank_groups_with_ties_and_null(spark):
+    rows = [(f"g{k}", float(k // 3)) for k in range(300)] + [(None, 0.5)]
+    got = {r.g: r["rank"] for r in agg.rank_groups(spark.createDataFrame(rows, "g string, v double").repartition(7), "g", F.sum("v")).collect()}
+    order = sorted({v for _, v in rows})
+    assert got == {g: order.index(v) + 1 for g, v in rows}
