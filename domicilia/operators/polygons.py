@@ -17,6 +17,7 @@ def edges(vertices: DataFrame) -> DataFrame:
     spread over all tasks; a window would order them in one.
     """
     ring = ["poly_id", "ring"]
+    vertices = vertices.select(*ring, "seq", "x", "y")
     following = vertices.select(*ring, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     inner = vertices.join(following, [*ring, "seq"]).drop("seq")
     point = F.struct("x", "y")

@@ -453,6 +453,115 @@ def _polygon_sql() -> str:
     )
 
 
+def _parcel_sql() -> str:
+    """Regions of grid parcels: area by count, borders by looking at the four neighbours of each."""
+    width, height = standin.PARCEL_SIZE
+    cells = (
+        f"SELECT {standin.PARCEL['c']} AS c, {standin.PARCEL['r']} AS r, {standin.PARCEL_REGION} AS g FROM customer WHERE {standin.PARCEL_KEPT}"
+    )
+    sides = ((1, 0, height), (-1, 0, height), (0, 1, width), (0, -1, width))
+    borders = " UNION ALL ".join(
+        f"SELECT a.g, {length} AS length FROM p a LEFT JOIN p b ON b.c = a.c + {dc} AND b.r = a.r + {dr} AND b.g = a.g WHERE b.g IS NULL"
+        for dc, dr, length in sides
+    )
+    return (
+        f"WITH p AS ({cells}), b AS ({borders}) SELECT g AS ra_cira, n * {width * height} AS area, perimeter, n_edges, n_edges AS n_vertices,"
+        f" n * {width * height} AS ring_area FROM (SELECT g, count(*) AS n FROM p GROUP BY g)"
+        " JOIN (SELECT g, cast(sum(length) AS DOUBLE) AS perimeter, count(*) AS n_edges FROM b GROUP BY g) USING (g)"
+    )
+
+
+def _sketch_sql() -> str:
+    w, h = standin.SKETCH_WIDTH, standin.SKETCH_HEIGHT
+    kind = f"c_custkey % {len(standin.SKETCHES)}"
+    cases = lambda *values: f"CASE {kind} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+    area = f"cast({cases(f'{w} * {h} / 2.0e0', f'{w} * {h} - 9', f'{w} * {h} - 20', f'{w} * {h}')} AS DOUBLE)"
+    return (
+        f"SELECT c_custkey AS poly_id, {area} AS area, {area} AS ring_area, {cases(6, 8, 8, 4)}::BIGINT AS n_vertices,"
+        f" {cases(2, 1, 2, 1)}::BIGINT AS n_rings, {cases(0, 0, 1, 0)}::BIGINT AS n_holes FROM customer"
+    )
+
+
+# Linearised variances: every PSU of the sample has a value in every domain.
+CTE |= {
+    "sample_z": (
+        "SELECT s.*, w.w, CASE WHEN s.A01nficha % 500 = 0 THEN -s.A01nficha - 1 ELSE s.A01setor END AS stratum, s.A01nficha AS psu"
+        " FROM sample_d s JOIN w_d w ON w.A01nficha = s.A01nficha"
+    ),
+    "psu_z": "SELECT stratum, psu, POS_ESTRATO AS post, sum(w) AS w FROM sample_z GROUP BY ALL",
+    "strata_z": "SELECT stratum, count(*) AS n_h FROM (SELECT DISTINCT stratum, psu FROM psu_z) GROUP BY stratum",
+    "post_z": "SELECT post, sum(w) AS size FROM psu_z GROUP BY post",
+}
+
+
+def _linearised(values: str, policy: str = "adjust") -> str:
+    """(domain, variance) of the sums of u over `values` (domain, psu, post, u), u weighted."""
+    lone = {
+        "adjust": "power(z - (sum(z) OVER (PARTITION BY domain)) / (count(*) OVER (PARTITION BY domain)), 2)",
+        "average": "NULL",
+        "remove": "0",
+    }[policy]
+    scaled = "sum(v) * count(DISTINCT stratum) / count(DISTINCT CASE WHEN n_h > 1 THEN stratum END)" if policy == "average" else "sum(v)"
+    return (
+        f"SELECT domain, {scaled} AS variance FROM (SELECT domain, stratum, n_h, CASE WHEN n_h > 1 THEN"
+        " power(z - avg(z) OVER (PARTITION BY domain, stratum), 2) * n_h / (n_h - 1.0e0)"
+        f" ELSE {lone} END AS v FROM (SELECT m.domain, p.stratum, p.psu, any_value(s.n_h) AS n_h,"
+        " coalesce(sum(x.u), 0) - sum(p.w * m.mean) AS z FROM psu_z p"
+        f" CROSS JOIN (SELECT d.domain, q.post, coalesce(sum(y.u), 0) / any_value(q.size) AS mean FROM (SELECT DISTINCT domain FROM ({values})) d"
+        f" CROSS JOIN post_z q LEFT JOIN ({values}) y ON y.domain IS NOT DISTINCT FROM d.domain AND y.post = q.post GROUP BY ALL) m"
+        f" LEFT JOIN (SELECT domain, psu, post, sum(u) AS u FROM ({values}) GROUP BY ALL) x"
+        " ON x.domain IS NOT DISTINCT FROM m.domain AND x.psu = p.psu AND x.post = p.post"
+        " JOIN strata_z s ON s.stratum = p.stratum WHERE m.post = p.post GROUP BY m.domain, p.stratum, p.psu)) GROUP BY domain"
+    )
+
+
+_ROLLED_HEADS = "SELECT * FROM h UNION ALL SELECT * REPLACE ('DF' AS RA_nome) FROM h"
+
+
+def _linear_total(x: str) -> str:
+    values = f"SELECT RA_nome AS domain, psu, POS_ESTRATO AS post, w * {x} AS u FROM ({_ROLLED_HEADS})"
+    return (
+        f"SELECT RA_nome, sum(w * {x}) AS est, sqrt(max(variance)) AS se FROM ({_ROLLED_HEADS}) f"
+        f" JOIN ({_linearised(values)}) v ON v.domain IS NOT DISTINCT FROM f.RA_nome GROUP BY RA_nome"
+    )
+
+
+def _linear_queries() -> dict[str, str]:
+    mean = f"SELECT RA_nome, sum(w * adens) / sum(w) AS adens, sum(w) AS size FROM ({_ROLLED_HEADS}) GROUP BY RA_nome"
+    mean_values = (
+        f"SELECT f.RA_nome AS domain, psu, POS_ESTRATO AS post, w * (f.adens - m.adens) / m.size AS u FROM ({_ROLLED_HEADS}) f"
+        f" JOIN ({mean}) m ON m.RA_nome IS NOT DISTINCT FROM f.RA_nome"
+    )
+    share = "SELECT RA_nome, B02, sum(w) / sum(sum(w)) OVER (PARTITION BY RA_nome) AS pct, sum(sum(w)) OVER (PARTITION BY RA_nome) AS size FROM h GROUP BY RA_nome, B02"
+    share_values = (
+        "SELECT m.RA_nome || ':' || m.B02 AS domain, psu, POS_ESTRATO AS post, w * ((h.B02 = m.B02)::INT - m.pct) / m.size AS u"
+        f" FROM h JOIN ({share}) m ON m.RA_nome = h.RA_nome"
+    )
+    one = "SELECT 1 AS domain, psu, POS_ESTRATO AS post, w * adens AS u FROM h"
+    return {
+        "linearised_total": (
+            "SELECT a.RA_nome, " + ", ".join(
+                f"round({t}.est, 4) AS {c}, round({t}.se, 4) AS {c}_se, round({t}.se / nullif({t}.est, 0), 4) AS {c}_cv"
+                for t, c in (("a", "pessoas"), ("b", "adens"))
+            )
+            + f" FROM ({_linear_total('A01npessoas')}) a JOIN ({_linear_total('adens')}) b ON a.RA_nome IS NOT DISTINCT FROM b.RA_nome"
+        ),
+        "linearised_mean": (
+            f"SELECT RA_nome, round(adens, 6) AS adens, round(sqrt(variance), 6) AS adens_se FROM ({mean}) m"
+            f" JOIN ({_linearised(mean_values)}) v ON v.domain IS NOT DISTINCT FROM m.RA_nome"
+        ),
+        "linearised_share": (
+            f"SELECT RA_nome, B02, round(pct, 6) AS pct, round(sqrt(variance), 6) AS pct_se FROM ({share}) m"
+            f" JOIN ({_linearised(share_values)}) v ON v.domain = m.RA_nome || ':' || m.B02"
+        ),
+        "linearised_policies": " UNION ALL ".join(
+            f"SELECT round((SELECT sum(w * adens) FROM h), 4) AS adens, round(sqrt(variance), 4) AS adens_se, '{policy}' AS regra"
+            f" FROM ({_linearised(one, policy)})"
+            for policy in ("adjust", "average", "remove")
+        ),
+    }
+
+
 def _queries() -> dict[str, str]:
     sector = _label("A01setor", codes.SECTORS)
     region = _label("A01ra", codes.REGIONS)
@@ -590,6 +699,15 @@ def _queries() -> dict[str, str]:
             f"SELECT A01nficha, '{c}' AS variavel, {c} AS valor FROM hh" for c in ("B08", "B12", "A01npessoas")
         ),
         "pivot_complete_zero": f"SELECT ra_cira, ano, round(n, 4) AS n FROM ({_AREA_CELLS})",
+        "complete_open_keys": (
+            "SELECT r.ra_cira, y.ano, round(coalesce(sum(area_1), 0), 4) AS n FROM (SELECT DISTINCT ra_cira FROM ({a})) r"
+            " CROSS JOIN (SELECT DISTINCT ano FROM ({a})) y LEFT JOIN ({a}) a ON a.ra_cira = r.ra_cira AND a.ano = y.ano GROUP BY ALL"
+        ).format(a=_AREAS),
+        "pivot_open_keys": _rounded(
+            _wide(f"SELECT ra_cira, ano, sum(area_1) AS n FROM ({_AREAS}) GROUP BY ALL", ["ra_cira"], "ano", "n", {y: y for y in _YEARS}),
+            4,
+            _YEARS,
+        ),
         "pivot_null_key": _wide(
             f"SELECT RA_nome, coalesce(domicilio, 'demais domicílios') AS domicilio, n FROM ({precarious})",
             ["RA_nome"],
@@ -602,6 +720,8 @@ def _queries() -> dict[str, str]:
             f" substr(ra_codigo, strpos(ra_codigo, '-') + 1) AS code FROM ({_POLYGONS})"
         ),
         "polygon_centroid": _polygon_sql(),
+        "dissolved_regions": _parcel_sql(),
+        "repaired_polygons": _sketch_sql(),
         "design_summary": (
             "SELECT A01setor, count(DISTINCT A01nficha) AS n_psu, count(*) AS n_rows, sum(PESO_PRE) AS weight_sum FROM hh GROUP BY A01setor"
         ),
@@ -627,6 +747,9 @@ def _queries() -> dict[str, str]:
             f" CASE WHEN k.B08 IS NULL THEN NULL ELSE b.aluguel_conhecido_se END AS aluguel_conhecido_se"
             f" FROM ({strict}) a JOIN ({skipping}) b USING (A01setor, B08) LEFT JOIN ({known}) k USING (A01setor, B08)"
         ),
+        "survey_total_ci_design": _total(_H, ["RA_nome"], {"quartos": "B12"}, ["ci"]),  # weights of full rank
+        "survey_degrees_of_freedom": f"SELECT DISTINCT RA_nome, {R - 1} AS df FROM h",
+        **_linear_queries(),
         "survey_count": _total(_H, ["RA_nome", "B02"], n, ["ci"]),
         "survey_mean": _mean(_H, ["RA_nome"], {"pessoas": "A01npessoas", "adens": "adens"}, ["se", "cv"]),
         "survey_share": _share(_H, ["RA_nome"], "B02", "pct", ["se", "ci"]),

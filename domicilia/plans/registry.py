@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from dataclasses import replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 from domicilia.functions import codes
 from domicilia.functions import columns as c
 from domicilia.operators import aggregates as agg
+from domicilia.operators import dissolve
 from domicilia.operators import estimate as est
 from domicilia.operators import joins
 from domicilia.operators.design import Design, design_summary, factors, post_strata, post_stratify, replicate
-from domicilia.operators.polygons import centroids
+from domicilia.operators.linearise import Linearised
+from domicilia.operators.polygons import centroids, edges
 from domicilia.plans import deficit, demand, density, income
 from domicilia.plans import survey as sv
+from domicilia.session import materialize
 from domicilia.sources import standin
 
 REPLICATES = 20
@@ -241,6 +245,55 @@ def _heads(survey: sv.Survey) -> DataFrame:
     return deficit.region_name(survey.dwelling_heads)
 
 
+def _with_lonely(frame: DataFrame) -> DataFrame:
+    """Every 500th dwelling alone in a stratum of its own."""
+    alone = F.col("A01nficha") % 500 == 0
+    return frame.withColumn("A01setor", F.when(alone, -F.col("A01nficha") - 1).otherwise(F.col("A01setor")))
+
+
+def _linearised(survey: sv.Survey) -> tuple[Linearised, DataFrame]:
+    survey = survey.point
+    sample = _with_lonely(survey.by_dwelling.frame)
+    return Linearised(sample, survey.design, rows="_rows"), deficit.region_name(_with_lonely(survey.dwelling_heads))
+
+
+def linearised_total(survey: sv.Survey) -> DataFrame:
+    linear, heads = _linearised(survey)
+    measures = {"pessoas": F.col("A01npessoas"), "adens": F.col("adens")}
+    return linear.total(heads, ["RA_nome"], measures, vartype=["se", "cv"], fill=codes.TOTAL_LABEL)
+
+
+def linearised_mean(survey: sv.Survey) -> DataFrame:
+    linear, heads = _linearised(survey)
+    return linear.mean(heads, ["RA_nome"], {"adens": F.col("adens")}, vartype=["se"], fill=codes.TOTAL_LABEL)
+
+
+def linearised_share(survey: sv.Survey) -> DataFrame:
+    linear, heads = _linearised(survey)
+    return linear.share(heads, ["RA_nome"], "B02", vartype=["se"])
+
+
+def linearised_policies(survey: sv.Survey) -> DataFrame:
+    """Variance of one total under each policy for strata of a single PSU."""
+    linear, heads = _linearised(survey)
+    found = [
+        replace(linear, policy=policy).total(heads, [], {"adens": F.col("adens")}).withColumn("regra", F.lit(policy))
+        for policy in ("adjust", "average", "remove")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def survey_degrees_of_freedom(survey: sv.Survey) -> DataFrame:
+    return est.degrees_of_freedom(_heads(survey), survey.by_dwelling.replicates, ["RA_nome"])
+
+
+def survey_total_ci_design(survey: sv.Survey) -> DataFrame:
+    """Intervals with the degrees of freedom of each region's own replicate weights."""
+    heads, replicates = _heads(survey), survey.by_dwelling.replicates
+    df = est.degrees_of_freedom(heads, replicates, ["RA_nome"])
+    return est.survey_total(heads, ["RA_nome"], {"quartos": F.col("B12")}, replicates, ["ci"], df=df)
+
+
 def survey_domain_total(survey: sv.Survey) -> DataFrame:
     domain = _heads(survey).filter((F.col("B03") == 3) & (F.col("B12") == 0) & (F.col("B06") == 88))
     return est.survey_total(domain, ["A01setor"], {"n": None}, survey.by_dwelling.replicates, ["se"])
@@ -327,6 +380,29 @@ def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.density_table(open_survey(spark, sf_dir), areas, polygons)
 
 
+def _with_rings(borders: DataFrame, key: str) -> DataFrame:
+    """Area, perimeter and number of edges of borders, with the rings they make and the holes among these."""
+    borders = materialize(borders)
+    rings = dissolve.chain(borders, [key])
+    # The rings' own vertices must give the area again.
+    counted = rings.groupBy(key).agg(
+        F.count("*").alias("n_vertices"), F.countDistinct("ring").alias("n_rings"), F.countDistinct(F.when(F.col("hole"), F.col("ring"))).alias("n_holes")
+    )
+    area = dissolve.measures(edges(rings.withColumnRenamed(key, "poly_id")), ["poly_id"]).select(F.col("poly_id").alias(key), F.col("area").alias("ring_area"))
+    return dissolve.measures(borders, [key]).join(counted, key).join(area, key)
+
+
+def dissolved_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices, regions = standin.parcels(spark, sf_dir)
+    found = _with_rings(dissolve.boundaries(vertices, regions, "ra_cira"), "ra_cira")
+    return rounded(found.select("ra_cira", "area", "perimeter", "n_edges", "n_vertices", "ring_area"))
+
+
+def repaired_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _with_rings(dissolve.repaired(standin.sketches(spark, sf_dir)), "poly_id")
+    return rounded(found.drop("perimeter", "n_edges"))
+
+
 def _profile_hierarchies(survey: sv.Survey) -> DataFrame:
     parts = [
         deficit.profile_hierarchy(survey, name).withColumn("componente", F.lit(name)) for name in deficit.COMPONENTS
@@ -387,9 +463,13 @@ QUERIES: dict[str, Query] = {
     "pivot_spread": _dwelling_query(pivot_spread),
     "unpivot_gather": _dwelling_query(unpivot_gather),
     "pivot_complete_zero": partial(_areas, density.area_by_year),
+    "complete_open_keys": lambda spark, sf_dir: rounded(density.area_by_any_year(standin.occupied_areas(spark, sf_dir))),
+    "pivot_open_keys": lambda spark, sf_dir: rounded(density.area_by_any_year_wide(standin.occupied_areas(spark, sf_dir))),
     "pivot_null_key": _indicator(deficit.precarious_null_key_table),
     "split_fixed": split_fixed,
     "polygon_centroid": lambda spark, sf_dir: rounded(centroids(standin.lot_vertices(spark, sf_dir))),
+    "dissolved_regions": dissolved_regions,
+    "repaired_polygons": repaired_polygons,
     # sample design and estimation
     "design_summary": _dwelling_query(lambda hh: design_summary(hh, DESIGN)),
     "post_stratify": _dwelling_query(post_stratified, 6),
@@ -401,6 +481,12 @@ QUERIES: dict[str, Query] = {
     "survey_total_cv": _indicator(survey_total_kind, vartype="cv"),
     "survey_total_ci": _indicator(survey_total_kind, vartype="ci"),
     "survey_total_strict": _indicator(survey_total_strict),
+    "survey_total_ci_design": _indicator(survey_total_ci_design),
+    "survey_degrees_of_freedom": _indicator(survey_degrees_of_freedom),
+    "linearised_total": _indicator(linearised_total),
+    "linearised_mean": _indicator(linearised_mean, 6),
+    "linearised_share": _indicator(linearised_share, 6),
+    "linearised_policies": _indicator(linearised_policies),
     "survey_count": _indicator(survey_count),
     "survey_mean": _indicator(survey_mean, 6),
     "survey_share": _indicator(survey_share, 6),

@@ -6,6 +6,9 @@ same in Spark and in the checking engine; how tables are joined is written separ
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,3 +185,46 @@ def lot_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("poly_id", "ring", "seq", "p.x", "p.y")
         )
     return parts[0].unionByName(parts[1])
+
+
+# Parcels: a grid of equal rectangles, some missing, in regions of whole blocks.
+PARCEL = {"c": "c_custkey % 40", "r": "floor(c_custkey / 40)"}
+PARCEL_SIZE = (10.0, 8.0)
+PARCEL_KEPT = "c_custkey % 11 <> 5"
+PARCEL_REGION = "cast(1 + (floor((c_custkey % 40) / 7) + 3 * floor(floor(c_custkey / 40) / 5)) % 33 as int)"
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vertex table of parcels that share borders, and the region of each; every other runs clockwise."""
+    customer = _table(spark, sf_dir, "customer").filter(PARCEL_KEPT).select("c_custkey")
+    width, height = PARCEL_SIZE
+    x, y = F.expr(PARCEL["c"]) * width, F.expr(PARCEL["r"]) * height
+    corners = [F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((0, 0), (width, 0), (width, height), (0, height))]
+    ring = F.when(F.col("c_custkey") % 2 == 0, F.array(*corners)).otherwise(F.array(*corners[::-1]))
+    unfolded = customer.select(F.col("c_custkey").alias("poly_id"), F.lit(0).alias("ring"), F.posexplode(ring).alias("seq", "p"))
+    regions = customer.select(F.col("c_custkey").alias("poly_id"), F.expr(PARCEL_REGION).alias("ra_cira"))
+    return unfolded.select("poly_id", "ring", "seq", "p.x", "p.y"), regions
+
+
+# Lots drawn badly: crossed outlines, holes that stick out, borders passed over twice; whole numbers.
+SKETCH_WIDTH, SKETCH_HEIGHT = "(20 + 2 * (c_custkey % 15))", "(20 + 2 * (c_custkey % 8))"
+SKETCHES = {
+    0: {0: "0 0, w h, w 0, 0 h"},
+    1: {0: "0 0, w 0, w h, 0 h", 1: "w-3 2, w+2 2, w+2 5, w-3 5"},
+    2: {0: "0 0, w 0, w h, 0 h", 1: "4 4, 8 4, 8 9, 4 9"},
+    3: {0: "0 0, w 0, w h, 0 h, 0 0, w 0, w h, 0 h"},
+}
+
+
+def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex table of one drawing per customer; its kind is the remainder of the key by four."""
+    customer = _table(spark, sf_dir, "customer").select("c_custkey")
+    places = {"w": f"cast({SKETCH_WIDTH} as double)", "h": f"cast({SKETCH_HEIGHT} as double)"}
+    parts = []
+    for kind, rings in SKETCHES.items():
+        for ring, text in rings.items():
+            points = [[re.sub("[wh]", lambda m: places[m[0]], part) for part in point.split()] for point in text.split(",")]
+            corners = F.array(*[F.struct(F.expr(f"cast({px} as double)").alias("x"), F.expr(f"cast({py} as double)").alias("y")) for px, py in points])
+            rows = customer.filter(f"c_custkey % {len(SKETCHES)} = {kind}")
+            parts.append(rows.select(F.col("c_custkey").alias("poly_id"), F.lit(ring).alias("ring"), F.posexplode(corners).alias("seq", "p")))
+    return reduce(DataFrame.unionByName, parts).select("poly_id", "ring", "seq", "p.x", "p.y")
