@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,8 +59,8 @@ def parts_of(text: str) -> dict[str, list[tuple[int, int]]]:
     if "://" in text:
         found["endpoint"] = [m.span() for m in ENDPOINT.finditer(text)]
     if any(found.values()):
-        taken = sorted(span for kind in STRONG for span in found[kind])
-        found["opaque"] = [m.span() for m in OPAQUE.finditer(text) if _varied(m[0]) and not _meets(taken, *m.span())]
+        taken = _Taken([span for kind in STRONG for span in found[kind]])
+        found["opaque"] = [m.span() for m in OPAQUE.finditer(text) if _varied(m[0]) and not taken.meets(*m.span())]
     return found
 
 
@@ -68,9 +69,16 @@ def _varied(run: str) -> bool:
     return any(c.isupper() for c in run) and any(c.islower() for c in run) and any(c.isdigit() for c in run)
 
 
-def _meets(spans: list[tuple[int, int]], low: int, high: int) -> bool:
-    """Whether one of the spans, sorted by start, overlaps [low, high)."""
-    return any(b > low for _, b in spans[: bisect_left(spans, (high,))])
+class _Taken:
+    """Spans of several kinds, to ask whether one of them overlaps another span."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.furthest = list(accumulate((b for _, b in spans), max, initial=-1))
+
+    def meets(self, low: int, high: int) -> bool:
+        return self.furthest[bisect_left(self.starts, high)] > low
 
 
 class _Parts:
@@ -165,7 +173,8 @@ class SecretScan:
 
         def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [None if t is None else redact(t, reach) for t in batch.column(at).to_pylist()]
-                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                for part in chunks(batch, text):
+                    texts = [None if t is None else redact(t, reach) for t in part.column(at).to_pylist()]
+                    yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
         return docs.mapInArrow(convert, StructType(docs.schema.fields))

@@ -128,6 +128,18 @@ def test_weak_candidates_need_their_complement():
     assert "abcd" not in redact(together, 200)
 
 
+def test_taken_spans():
+    from domicilia.llm.secrets import _Taken
+
+    random = np.random.default_rng(8)
+    spans = [(int(a), int(a + n)) for a, n in zip(random.integers(0, 300, 40), random.integers(1, 30, 40), strict=True)]
+    taken = _Taken(spans)
+    for low in range(0, 330, 3):
+        for high in (low + 1, low + 9):
+            assert taken.meets(low, high) == any(a < high and b > low for a, b in spans)
+    assert not _Taken([]).meets(0, 9)
+
+
 def test_substrings(docs, texts):
     rows = sorted((i, t) for i, t in texts if i is not None and i != 12)
     seen, want = set(), {}
