@@ -1,7 +1,9 @@
 """Repeated passages by super-k-mers: windows that share a minimiser travel as one string.
 
-The minimiser of a window is the run of `seed` words with the smallest hash in it.
-Consecutive windows with the same minimiser form one super-k-mer: their words, packed as
+The minimiser of a window is the run of `seed` words with the smallest hash in it; runs that
+a sample of the texts shows to be frequent come after all others, so that a line that most texts share does
+not send all of them to one bucket. The order is the same everywhere and any order gives the same
+result. Consecutive windows with the same minimiser form one super-k-mer: their words, packed as
 one string, go to the bucket of the minimiser. Equal windows have equal minimisers, so
 each bucket finds its repeated windows by sorting, without any other bucket.
 
@@ -30,6 +32,7 @@ from domicilia.llm.words import Words, chunks, mix
 
 CHUNK = 8 << 20
 _GATHER = 1 << 16
+_FREQUENT_RUNS = 1 << 16
 _OTHER = np.uint64(0xA0761D6478BD642F)
 _STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -44,11 +47,15 @@ class SuperKmers:
     seed: np.ndarray
 
     @classmethod
-    def cut(cls, words: Words, hashes: np.ndarray, width: int, seed: int) -> SuperKmers:
-        """Runs of windows of one text that have their minimiser at the same place."""
+    def cut(cls, words: Words, hashes: np.ndarray, width: int, seed: int, frequent: np.ndarray) -> SuperKmers:
+        """Runs of windows of one text that have their minimiser at the same place; `frequent`: sorted seeds that come last."""
         windows = np.maximum(words.counts - width + 1, 0)
         total, span = int(windows.sum()), width - seed + 1
-        ranks = mix(words.runs(hashes, seed) ^ _OTHER)
+        runs = words.runs(hashes, seed)
+        ranks = mix(runs ^ _OTHER) >> np.uint64(1)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
+            ranks[frequent[at] == runs] |= np.uint64(1 << 63)
         n = max(len(ranks) - span + 1, 0)
         least, at = ranks[:n].copy(), np.arange(n)
         for j in range(1, span):
@@ -115,14 +122,39 @@ def _later(order: np.ndarray, equal: np.ndarray, *position: np.ndarray) -> np.nd
 @dataclass(frozen=True)
 class SubstringDedup:
     """`width`: words of a window; `seed`: words of a minimiser; `bucket_bytes`: input bytes for
-    each bucket; `pass_bytes`: bytes of a bucket's strings that are sorted at once. The
-    last two set how the work is dealt, not the result.
+    each bucket; `pass_bytes`: bytes of a bucket's strings that are sorted at once; `sample`: about so
+    many texts are looked at for frequent runs (0: none), which are those in one of
+    `frequent` of them or more. All but the first two set how the work is dealt, not the result.
     """
 
     width: int = 20
     seed: int = 4
     bucket_bytes: int = 2 << 20
     pass_bytes: int = 48 << 20
+    sample: int = 4000
+    frequent: int = 200
+
+    def frequent_runs(self, docs: DataFrame) -> np.ndarray:
+        """Sorted hashes of the runs of `seed` words that occur in many texts of the sample."""
+        total = docs.select("doc_id").count() if self.sample else 0
+        if not total:
+            return np.zeros(0, np.uint64)
+        some = docs.select("text").sample(min(1.0, self.sample / max(total, 1)), 11)
+        width, least = self.seed, max(8, min(total, self.sample) // self.frequent)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, "text", CHUNK):
+                    words = Words.of(part.column("text"))
+                    runs = words.runs(words.hashes(), width) if len(words.starts) else np.zeros(0, np.uint64)
+                    doc = np.repeat(np.arange(len(words.counts)), words.counts)[: len(runs)]
+                    pairs = np.unique(np.stack([runs, doc.astype(np.uint64)]), axis=1)[0] if len(runs) else runs
+                    found, n = np.unique(pairs, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["run", "n"])
+
+        counts = some.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        rows = counts.orderBy(F.desc("n"), "run").limit(_FREQUENT_RUNS).select("run").toArrow()
+        return np.sort(rows["run"].to_numpy().astype(np.int64).view(np.uint64))
 
     def removed(self, docs: DataFrame) -> DataFrame:
         """Word ranges (doc_id, tag, low, high) that windows with an earlier copy cover.
@@ -131,17 +163,18 @@ class SubstringDedup:
         """
         buckets = max(128, -(-input_bytes(docs) // self.bucket_bytes))
         width, seed, most = self.width, self.seed, self.pass_bytes
+        docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+        shared = docs.sparkSession.sparkContext.broadcast(self.frequent_runs(docs))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, "text", CHUNK):
-                    yield from _cut(part, width, seed, buckets)
+                    yield from _cut(part, width, seed, buckets, shared.value)
 
         def meet(table: pa.Table) -> pa.Table:
             return _meet(table, width, most)
 
-        packed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        packed = packed.mapInArrow(cut, "bucket long, head binary, body binary")
+        packed = docs.mapInArrow(cut, "bucket long, head binary, body binary")
         return packed.groupBy("bucket").applyInArrow(meet, "doc_id long, tag long, low long, high long")
 
     def run(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
@@ -166,7 +199,7 @@ class SubstringDedup:
         return joined.mapInArrow(keep, schema)
 
 
-def _cut(part: pa.RecordBatch, width: int, seed: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _cut(part: pa.RecordBatch, width: int, seed: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blocks for the buckets: a head (doc_id, tag, place, bytes) and the strings; without
     strings, ranges (doc_id, tag, low, high) that are settled already.
     """
@@ -174,7 +207,7 @@ def _cut(part: pa.RecordBatch, width: int, seed: int, buckets: int) -> Iterator[
     if not part.num_rows or words.counts.max() < width:
         return
     hashes = words.hashes()
-    kmers = SuperKmers.cut(words, hashes, width, seed)
+    kmers = SuperKmers.cut(words, hashes, width, seed, frequent)
     doc = part.column("doc_id").to_numpy()[kmers.row]
     tag = part.column("tag").to_numpy()[kmers.row]
     place = kmers.low - words.first[kmers.row]
