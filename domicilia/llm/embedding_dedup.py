@@ -29,6 +29,7 @@ from domicilia.llm.vectors import padded, rotated, unit, usable
 from domicilia.llm.words import mix
 
 _SLOT_ROWS = 2048
+_ROUNDING = 1e-9  # of cosines of scaled vectors
 
 
 @dataclass(frozen=True)
@@ -168,13 +169,14 @@ class EmbeddingDedup:
                 if len(at) < 2:
                     continue
                 matrix = unit(np.stack([np.frombuffer(vecs[x]) for x in at]))
-                near = matrix @ matrix.T >= least - 1e-9
+                cosines = matrix @ matrix.T
+                near = cosines >= least - _ROUNDING
                 np.fill_diagonal(near, False)
                 near &= home[at][:, None] | home[at][None, :]
                 if i[at[0]] != j[at[0]]:
                     near &= side[at][:, None] != side[at][None, :]
-                for x, y in zip(*np.nonzero(np.triu(near)), strict=True):
-                    if not exact(np.frombuffer(vecs[at[x]]), np.frombuffer(vecs[at[y]]), matrix[x] @ matrix[y], least):
+                for x, y in zip(*np.nonzero(np.triu(near & (cosines <= least + _ROUNDING))), strict=True):
+                    if not reaches(np.frombuffer(vecs[at[x]]), np.frombuffer(vecs[at[y]]), least):
                         near[x, y] = near[y, x] = False
                 for x in range(len(at)):
                     ys = np.flatnonzero(near[x, x + 1 :]) + x + 1
@@ -196,10 +198,8 @@ class EmbeddingDedup:
         return rows.withColumn("slot", slot).groupBy("slot", "i", "j").applyInArrow(judge, "vec binary, linked long, id long, other long")
 
 
-def exact(a: np.ndarray, b: np.ndarray, quick: float, least: float) -> bool:
-    """Whether the cosine reaches `least`; within rounding of it, from the original components."""
-    if abs(quick - least) > 1e-9:
-        return quick >= least
+def reaches(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the cosine of the original components reaches `least`."""
     return float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b))) >= least
 
 
