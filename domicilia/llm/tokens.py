@@ -87,6 +87,10 @@ def vocabulary(path: str) -> Vocabulary:
     if described["model"]["type"] != "BPE" or described["pre_tokenizer"]["type"] != "ByteLevel":
         raise ValueError(f"{path} is no byte-level BPE vocabulary")
     letters = byte_letters()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in described["model"]["merges"]]
+    ids = [described["model"]["vocab"].get("".join(pair)) for pair in pairs]
+    if not ids or ids != list(range(ids[0], ids[0] + len(ids))):
+        raise ValueError(f"entries of {path} are not numbered in the order of its merges")
     special = {t["content"]: t["id"] for t in described["added_tokens"]}
     ranks = {bytes(letters[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in special}
     return Vocabulary(

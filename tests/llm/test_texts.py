@@ -17,6 +17,7 @@ from domicilia.llm.quality import QualityClassifier, estimate_prior
 from domicilia.llm.secrets import SecretScan, redact, scan
 from domicilia.llm.substring_dedup import SubstringDedup
 from domicilia.llm.token_count import TokenCount
+from domicilia.llm.words import Words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,8 +240,6 @@ def _unlike_words(n):
 
 def test_words_are_told_apart(spark):
     """Different words of one length and letter count have different hashes, so they link and repeat nothing."""
-    from domicilia.llm.words import Words
-
     one, other = _unlike_words(1024)
     words = Words.of(pa.array([f"{one} {other} {one}"]))
     for fold in (False, True):
@@ -255,11 +254,69 @@ def test_words_are_told_apart(spark):
 
 def test_hashes_of_many_words():
     """No two of many short and long words agree in either hash; case folds only where asked."""
-    from domicilia.llm.words import Words
-
     words = [f"w{k}" for k in range(20000)] + ["x" * k for k in range(1, 400)] + ["x" * 64 + c for c in "abc"] + ["Äb", "äb", "AB", "ab"]
     cut = Words.of(pa.array([" ".join(words)]))
     for seed in (0, 1):
         assert len(set(cut.hashes(seed=seed).tolist())) == len(words)
     folded = cut.hashes(fold=True).tolist()
     assert folded[-1] == folded[-2] and folded[-3] != folded[-4]
+
+
+def test_a_line_that_all_texts_share_meets_in_no_bucket(spark):
+    """Its runs come last, so the windows around it go where their other words send them; results are the same."""
+    from domicilia.llm import substring_dedup as sd
+
+    rng = np.random.default_rng(9)
+    line = " ".join(f"shared{k}" for k in range(10))
+    texts = []
+    for _ in range(300):
+        words = [f"w{k}" for k in rng.integers(0, 1 << 40, 80)]
+        texts.append(" ".join([*words[:40], line, *words[40:]]))
+    texts += [texts[5], texts[7] + " more"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    plain, ordered = SubstringDedup(sample=0), SubstringDedup()
+    assert len(plain.frequent_runs(frame)) == 0 and len(ordered.frequent_runs(frame)) == 7
+    got = [sorted(map(tuple, op.run(frame, with_text=False).collect())) for op in (plain, ordered)]
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) == 180
+    words = Words.of(pa.array(texts[:300]))
+    largest = []
+    for op in (plain, ordered):
+        kmers = sd.SuperKmers.cut(words, words.hashes(), 20, 4, op.frequent_runs(frame))
+        largest.append(np.unique(kmers.seed, return_counts=True)[1].max())
+    assert largest[0] > 100 and largest[1] <= 2
+
+
+def test_minimisers_are_those_of_all_windows():
+    """Each window is in one super-k-mer, whose seed is the least of the window's runs in the order given."""
+    from domicilia.llm import substring_dedup as sd
+    from domicilia.llm.words import mix
+
+    words = Words.of(pa.array([" ".join(f"v{k * k % 37}" for k in range(90)), "few words", " ".join(f"v{k}" for k in range(30))]))
+    hashes = words.hashes()
+    runs = words.runs(hashes, 4)
+    frequent = np.sort(runs[10:30])
+    kmers = sd.SuperKmers.cut(words, hashes, 20, 4, frequent)
+    ranks = mix(runs ^ sd._OTHER) >> np.uint64(1)
+    ranks = np.where(np.isin(runs, frequent), ranks | np.uint64(1 << 63), ranks)
+    seen = []
+    for low, high, seed in zip(kmers.low, kmers.high, kmers.seed, strict=True):
+        for start in range(low, high):
+            seen.append(start)
+            assert ranks[start : start + 17].min() == seed
+    assert sorted(seen) == [*range(71), *range(92, 103)]
+
+
+def test_vocabularies_numbered_otherwise_are_refused(tmp_path):
+    """Ranks are taken from ids, so these must follow the merges."""
+    import json
+
+    from domicilia.llm.tokens import vocabulary
+
+    with open(PATH, encoding="utf-8") as f:
+        described = json.load(f)
+    merges = described["model"]["merges"]
+    merges[3], merges[4] = merges[4], merges[3]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(described), encoding="utf-8")
+    with pytest.raises(ValueError, match="order of its merges"):
+        vocabulary(str(other))
