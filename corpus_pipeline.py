@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domicilia.llm.mixing import TARGETS, Mixing, described
+from domicilia.llm.mixing import TARGETS, Mixing, TopicModel, described
 from domicilia.llm.near_dedup import NearDedup
 from domicilia.llm.packing import Packing
 from domicilia.llm.quality import QualityClassifier
@@ -65,7 +65,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without id draw like an empty id and rows of one id alike. Other columns of `docs` pass unchanged.
     """
     ship(spark)
-    rows = described(docs, topic="__topic", tokens="__tokens")
+    rows = described(docs, TopicModel().fit(docs), topic="__topic", tokens="__tokens")
     drawn = Mixing(TARGETS).weighted(rows, tokens="__tokens", columns={"topic": "__topic"}, prefix="__")
     return drawn.filter("__sampled OR __tokens = 0").select(docs.columns)
 
