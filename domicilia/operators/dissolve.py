@@ -144,6 +144,14 @@ def dissolve(vertices: DataFrame, regions: DataFrame, key: str, noded: bool = Fa
 
 # Cutting edges where they meet
 
+# One edge passes about so many cells or strips at most, however much longer than the others it is.
+_CELLS_OF_ONE = 100_000
+
+
+def _typical(frame: DataFrame, length: Column) -> float | None:
+    """Mean length, or more where one edge would pass too many cells of that size."""
+    return frame.agg(F.greatest(F.avg(length), F.max(length) / _CELLS_OF_ONE)).first()[0]
+
 
 def _cells(numbered: DataFrame, size: float) -> DataFrame:
     """Each edge once for every grid cell it passes, column by column; a little wider, against rounding."""
@@ -196,7 +204,7 @@ def split(directed: DataFrame, by: Sequence[str], digits: int = 6) -> DataFrame:
     by = list(by)
     numbered = materialize(directed.withColumn("id", F.monotonically_increasing_id()))
     x, y, x2, y2 = (F.col(c) for c in POINTS)
-    size = numbered.agg(F.avg(F.hypot(x2 - x, y2 - y))).first()[0]
+    size = _typical(numbered, F.hypot(x2 - x, y2 - y))
     if not size:
         return directed
     cells = _cells(numbered, size)
@@ -243,7 +251,7 @@ def repaired(vertices: DataFrame, digits: int = 6) -> DataFrame:
     pieces = split(raw.select("poly_id", *POINTS), ["poly_id"], digits=digits)
     pieces = pieces.withColumns(_reversed(~forward)).distinct().withColumn("_piece", F.monotonically_increasing_id())
     pieces = materialize(pieces)
-    rise = raw.agg(F.avg(F.abs(tilted("x2", "y2") - tilted("x", "y")))).first()[0]
+    rise = _typical(raw, F.abs(tilted("x2", "y2") - tilted("x", "y")))
     if not rise:
         return pieces.drop("_piece")
     lines = raw.select("poly_id", "ring", *[F.col(c).alias(f"_{c}") for c in POINTS])
