@@ -8,13 +8,13 @@ targets and not by the data. Documents are then drawn by probabilities calibrate
 factors, each by a hash of its own id, so that a repeated task draws the same ones, and
 carry what is left of the factor as a weight.
 
-Documents have no topic, so texts are clustered by their words: centres are fitted on a bounded
-sample and every text gets the nearest.
+Documents have no topic, so texts are clustered by their words: centres are fitted on all texts,
+in rounds that each add up whole numbers by centre, and every text gets the nearest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from domicilia.llm.tables import own, store
-from domicilia.llm.words import Words, chunks
+from domicilia.llm.words import Words, chunks, mix
 
 REST = "(rest)"
 _FEW_GROUPS = 20_000
@@ -67,58 +67,147 @@ def weighted_features(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.divide(features, size, out=features, where=size > 0)
 
 
-def cluster(counts: np.ndarray, clusters: int, seed: int, rounds: int = 30) -> Topics:
-    """Spherical k-means of a sample, started by k-means++. Fewer texts than clusters: one centre each."""
-    counts = counts[counts.any(1)]
-    held = (counts > 0).sum(0)
-    weights = np.log((1 + len(counts)) / (1 + held)).astype(np.float32)
-    features = weighted_features(counts, weights)
-    if not len(features):
-        return Topics(np.zeros((1, counts.shape[1]), np.float32), weights)
-    random = np.random.Generator(np.random.PCG64(seed))
-    centres = features[:1]
-    while len(centres) < min(clusters, len(features)):
-        far = np.maximum(1 - (features @ centres.T).max(1), 0).astype(float)
-        if far.sum() < 1e-6:
-            break
-        centres = np.vstack([centres, features[random.choice(len(features), p=far / far.sum())]])
+# Features as whole numbers up to this, so that sums over all texts do not depend on their order.
+_ONE = 65_535
+# Texts as close as this to a centre are not far from it.
+_SAME = 1e-4
+
+
+def _whole(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.rint(weighted_features(counts, weights) * _ONE).astype(np.uint16)
+
+
+def _closeness(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return features.astype(np.float32) @ centres.T / _ONE
+
+
+def _racing(features: np.ndarray, keys: np.ndarray, centres: np.ndarray, turn: int) -> np.ndarray:
+    """When each text arrives in a race that it wins with a chance by its distance from the centres."""
+    far = 1 - _closeness(features, centres).max(1) if len(centres) else np.ones(len(features))
+    uniform = ((mix(keys ^ mix(np.array([turn], np.uint64))) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+    return np.where(far > _SAME, -np.log(uniform) / np.maximum(far, _SAME), np.inf)
+
+
+def _sums(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums of the texts nearest to each centre, exact."""
+    nearest = _closeness(features, centres).argmax(1)
+    return ((np.arange(len(centres))[:, None] == nearest).astype(float) @ features.astype(float)).astype(np.int64)
+
+
+def _centres(
+    first: Callable[[np.ndarray, int], np.ndarray | None], add: Callable[[np.ndarray], np.ndarray], dims: int, clusters: int, rounds: int
+) -> np.ndarray:
+    """Spherical k-means, started by k-means++. `first` gives the text that wins a race, `add` the sums by centre."""
+    centres = np.zeros((0, dims), np.float32)
+    while len(centres) < clusters and (found := first(centres, len(centres))) is not None:
+        size = np.sqrt((found.astype(float) ** 2).sum())
+        centres = np.vstack([centres, (found / max(size, 1)).astype(np.float32)])
+    if not len(centres):
+        return np.zeros((1, dims), np.float32)
     for _ in range(rounds):
-        nearest = (features @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, features)
+        sums = add(centres).astype(float)
         size = np.sqrt((sums * sums).sum(1, keepdims=True))
-        moved = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-        if np.abs(moved - centres).max() < 1e-6:
+        moved = np.where(size > 0, sums / np.maximum(size, 1), centres).astype(np.float32)
+        done, centres = np.abs(moved - centres).max() < 5e-4, moved
+        if done:
             break
-        centres = moved
-    return Topics(centres, weights)
+    return centres
+
+
+def _weights(texts: int, held: np.ndarray) -> np.ndarray:
+    return np.log((1 + texts) / (1 + held)).astype(np.float32)
+
+
+def cluster(counts: np.ndarray, clusters: int, seed: int, rounds: int = 30) -> Topics:
+    """Topics of the counts in one array. Fewer texts than clusters: one centre each."""
+    counts = counts[counts.any(1)]
+    weights = _weights(len(counts), (counts > 0).sum(0))
+    features = _whole(counts, weights)
+    keys = mix(np.arange(len(counts), dtype=np.uint64) + np.uint64(seed << 32))
+
+    def first(centres: np.ndarray, turn: int) -> np.ndarray | None:
+        arrival = _racing(features, keys, centres, turn)
+        return features[arrival.argmin()] if np.isfinite(arrival).any() else None
+
+    return Topics(_centres(first, lambda centres: _sums(features, centres), counts.shape[1], clusters, rounds), weights)
+
+
+def _arrays(batch: pa.RecordBatch, column: str, kind: str, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), kind).reshape(-1, dims)
+
+
+def _added(rows: DataFrame, block: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of the `size` whole numbers that `block` gives for some of them."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += block(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    sums = rows.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # `size` rows
+    out = np.zeros(size, np.int64)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return out
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """`clusters`, `dims`: topics and hashed words; `sample`: at most so many texts fit them, those of the smallest hashes."""
+    """`clusters`, `dims`: topics and hashed words; `rounds`: of k-means at most. All texts fit the topics, or those of
+    the smallest hashes if `sample` names a number of texts.
+    """
 
     clusters: int = 8
     dims: int = 512
-    sample: int = 4000
+    sample: int | None = None
     seed: int = 23
+    rounds: int = 20
 
     def fit(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Topics:
+        """Texts are read once, to store their counts of hashed words; each round of k-means goes over features made of these."""
         rows = own(docs, doc_id=doc_id, text=text).filter("length(trim(text)) > 0")
         rows = rows.select("text", F.xxhash64("doc_id", "text").alias("key"))
-        one_in = max(1, docs.count() // (2 * self.sample))
-        some = rows.filter(F.pmod("key", F.lit(one_in)) == 0)
-        dims = self.dims
+        if self.sample is not None:
+            rows = rows.orderBy("key", "text").limit(self.sample)
+        dims, seed = self.dims, self.seed
 
-        def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, "text"):
                     counts = word_features(Words.of(part.column("text")), dims)
-                    yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([c.tobytes() for c in counts], pa.binary())], ["key", "counts"])
+                    some = counts.any(1)
+                    cells = pa.array([c.tobytes() for c in counts[some]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("key").filter(pa.array(some)), cells], ["key", "x"])
+
+        counted = store(rows.mapInArrow(count, "key long, x binary"))
+        held = lambda batch: np.append((_arrays(batch, "x", "f4", dims) > 0).sum(0), batch.num_rows)
+        totals = _added(counted, held, dims + 1)
+        weights = _weights(int(totals[-1]), totals[:-1])
+
+        def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = [x.tobytes() for x in _whole(_arrays(batch, "x", "f4", dims), weights)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(cells, pa.binary())], ["key", "x"])
+
+        features = store(counted.mapInArrow(scale, "key long, x binary"))
+
+        def first(centres: np.ndarray, turn: int) -> np.ndarray | None:
+            def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    keys = mix(batch.column("key").to_numpy().view(np.uint64) + np.uint64(seed))
+                    arrival = _racing(_arrays(batch, "x", "u2", dims), keys, centres, turn)
+                    at = np.flatnonzero(np.isfinite(arrival) & (arrival == arrival.min(initial=np.inf)))
+                    yield pa.RecordBatch.from_arrays([pa.array(arrival[at]), batch.column("x").take(pa.array(at))], ["at", "x"])
+
+            winner = features.mapInArrow(race, "at double, x binary").orderBy("at", "x").limit(1).toArrow()  # one text
+            return np.frombuffer(winner["x"][0].as_py(), "u2") if winner.num_rows else None
+
+        def add(centres: np.ndarray) -> np.ndarray:
+            block = lambda batch: _sums(_arrays(batch, "x", "u2", dims), centres).ravel()
+            return _added(features, block, centres.size).reshape(centres.shape)
 
-        found = some.mapInArrow(convert, "key long, counts binary").orderBy("key", "counts").limit(self.sample).toArrow()  # `sample` rows
-        counts = np.frombuffer(b"".join(found["counts"].to_pylist()), np.float32).reshape(-1, dims)
-        return cluster(counts, self.clusters, self.seed)
+        return Topics(_centres(first, add, dims, self.clusters, self.rounds), weights)
 
 
 def described(docs: DataFrame, topics: Topics, text: str = "text", topic: str = "topic", tokens: str = "n_tokens") -> DataFrame:

@@ -82,3 +82,13 @@ def test_topics_of_hard_texts(spark):
 def test_names_that_clash_are_refused(corpus):
     with pytest.raises(ValueError, match="replaced"):
         Mixing({"source": Tempered()}).weighted(corpus.withColumns({"n_tokens": F.lit(1), "u": F.lit(1)}))
+
+
+def test_every_text_fits_the_topics(spark):
+    """More texts than a sample would hold: all count in the weights, and rare ones make a topic of their own."""
+    rows = spark.range(9000).selectExpr("id AS doc_id", "if(id < 8995, concat_ws(' ', 'common', id % 7), 'quite other words') AS text").repartition(3)
+    topics = TopicModel(clusters=2).fit(rows)
+    shared = word_features(Words.of(pa.array(["common"])), 512)[0].argmax()
+    assert topics.weights[shared] == pytest.approx(np.log(9001 / 8996), rel=1e-3)
+    found = described(rows, topics).groupBy("topic").count().toPandas().set_index("topic")["count"]
+    assert found.sum() == 9000 and len(found) == 2
