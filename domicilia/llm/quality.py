@@ -7,13 +7,13 @@ it, which is kept from falling below zero. The prior is estimated from the same
 samples: a first model ranks both, and the prior is the least ratio, over all thresholds,
 of the unlabelled share above it to the positive share above it.
 
-Fitting takes a bounded sample, the ids with the smallest hashes and of each the text with the
-least. Scoring covers all rows in one pass without a shuffle.
+Fitting takes all ids and of each the text with the least hash. Means and the prior come from all of them; weights
+are fitted in shards, dealt by hash, and averaged. Scoring covers all rows in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from domicilia.llm.tables import own
+from domicilia.llm.tables import own, store
 from domicilia.llm.words import Words, chunks, texts_of
 
 _KIND = np.zeros(256, np.int64)  # 0: other signs; the rest by character class
@@ -37,6 +37,8 @@ _SIGNS = b"!?|#$%&*<>{}[]()=+/\\_~^@`"
 _SIGN = np.full(256, -1)
 _SIGN[list(_SIGNS)] = np.arange(len(_SIGNS))
 _EDGES = np.array([1, 2, 3, 5, 8, 12, 20])
+# Scores are counted in so many bins up to this distance from zero.
+_BINS, _REACH = 4096, 40.0
 N_FEATURES = 8 + len(_SIGNS) + len(_EDGES) + 1 + 5
 
 
@@ -107,6 +109,12 @@ def nn_risk_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600
     return w
 
 
+def _least_ratio(above_pos: np.ndarray, above_unl: np.ndarray, n_pos: float, n_unl: float, confidence: float) -> float:
+    bound = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(n_pos) + 1 / np.sqrt(n_unl))
+    best = int(np.argmin((above_unl + bound) / np.maximum(above_pos, 1e-9)))
+    return float(np.clip(above_unl[best] / max(above_pos[best], 1e-9), 0.02, 0.98))
+
+
 def estimate_prior(pos: np.ndarray, unl: np.ndarray, confidence: float = 0.05) -> float:
     """Share of positives among the unlabelled, from scores of texts that the ranking model has not seen.
 
@@ -118,9 +126,14 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, confidence: float = 0.05) -
     cuts = np.unique(np.quantile(pos, np.linspace(0, 0.9, 91)))
     above_pos = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
     above_unl = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
-    bound = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
-    best = int(np.argmin((above_unl + bound) / np.maximum(above_pos, 1e-9)))
-    return float(np.clip(above_unl[best] / max(above_pos[best], 1e-9), 0.02, 0.98))
+    return _least_ratio(above_pos, above_unl, len(pos), len(unl), confidence)
+
+
+def _binned_prior(pos: np.ndarray, unl: np.ndarray, confidence: float = 0.05) -> float:
+    """As `estimate_prior`, from numbers of scores by narrow bins of all rows."""
+    above_pos, above_unl = (np.cumsum(n[::-1])[::-1] / n.sum() for n in (pos, unl))
+    kept = above_pos >= 0.1
+    return _least_ratio(above_pos[kept], above_unl[kept], pos.sum(), unl.sum(), confidence)
 
 
 def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
@@ -140,14 +153,39 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     return Model(mean, scale, nn_risk_fit(pos, unl, prior), prior)
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, N_FEATURES)
+
+
+def _added(rows: DataFrame, block: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of the `size` numbers that `block` gives for features, marks and halves of some of them."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            is_good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+            total += block(_matrix(batch.column("x")), is_good, batch.column("half").to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    sums = rows.mapInArrow(add, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # `size` rows
+    out = np.zeros(size)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
 @dataclass(frozen=True)
 class QualityClassifier:
-    """`sample`: most texts of each of both kinds that the model is fitted on; `threshold`: the
+    """`sample`: most texts of each of both kinds that the model is fitted on, None for all; `shard`: about so many
+    unlabelled texts, with their positives, are fitted together, and no fewer positives than `least` if copies of
+    others make up for that; the shards' weights are averaged; `threshold`: the
     score from which a text is predicted good; `folds`, `held`: documents whose crc32 of the id
     has this remainder are held out from learning.
     """
 
-    sample: int = 8000
+    sample: int | None = None
+    shard: int = 16_000
+    least: int = 1000
     threshold: float = 0.7
     folds: int = 4
     held: int = 2
@@ -162,6 +200,8 @@ class QualityClassifier:
         known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "label").filter(~self._held_out())
         good = known.groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1").select("doc_id")
         learn = docs.filter("doc_id IS NOT NULL").filter(~self._held_out())
+        if self.sample is None:
+            return self._of_all(learn, good)
         order = F.xxhash64("doc_id", F.lit(7))
         pick = lambda ids: ids.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(self.sample)
         pos = pick(good.join(learn.select("doc_id").distinct(), "doc_id", "left_semi"))
@@ -183,6 +223,80 @@ class QualityClassifier:
         is_good = rows["good"].to_numpy(bool)
         return fit(x[is_good], x[~is_good])
 
+    def _of_all(self, learn: DataFrame, good: DataFrame) -> Model:
+        """The model of all ids of `learn`, unlabelled, and those of them in `good`, positive."""
+
+        def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    cells = pa.array([x.tobytes() for x in features(part.column("text"))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), cells], ["doc_id", "h", "x"])
+
+        texts = learn.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(convert, "doc_id long, h long, x binary")
+        ids = texts.groupBy("doc_id").agg(F.min(F.struct("h", "x")).alias("least"))
+        marked = ids.join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+        half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).alias("half")
+        rows = store(marked.select("doc_id", F.coalesce("good", F.lit(False)).alias("good"), half, F.col("least.x").alias("x")))
+
+        def moments(x: np.ndarray, is_good: np.ndarray, half: np.ndarray) -> np.ndarray:
+            times = 1.0 + is_good  # a positive is unlabelled as well
+            return np.concatenate([[is_good.sum(), len(x)], times @ x, times @ (x * x)])
+
+        found = _added(rows, moments, 2 + 2 * N_FEATURES)
+        n_pos, n_unl = int(found[0]), int(found[1])
+        if not n_pos:
+            return fit(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES)))
+        mean = found[2 : 2 + N_FEATURES] / (n_pos + n_unl)
+        scale = np.sqrt(np.maximum(found[2 + N_FEATURES :] / (n_pos + n_unl) - mean * mean, 0)) + 1e-3
+        shards = -(-n_unl // self.shard)
+        # Each positive is a positive of its own shard and, where these would have too few, of those after it.
+        copies = min(shards, -(-self.least * shards // n_pos))
+        shard = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards))
+        unlabelled = rows.select(shard.alias("shard"), "doc_id", F.lit(False).alias("good"), "half", "x")
+        positive = rows.filter("good").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        positive = positive.select(F.pmod(shard + F.col("_k"), F.lit(shards)).alias("shard"), "doc_id", "good", "half", "x")
+        dealt = unlabelled.unionByName(positive)
+
+        def averaged(parts: list[int], prior: float, steps: int) -> dict[int, np.ndarray]:
+            """Weights fitted on each part, a half or all (2), that has rows of both kinds."""
+
+            def learn_shard(group: pa.Table) -> pa.Table:
+                group = group.sort_by([("doc_id", "ascending")])
+                x = np.clip((_matrix(group["x"]) - mean) / scale, -8, 8)
+                is_good, half = group["good"].to_numpy().astype(bool), group["half"].to_numpy()
+                out = []
+                for part in parts:
+                    mine = (half == part) | (part == 2)
+                    pos, unl = x[mine & is_good], x[mine & ~is_good]
+                    if len(pos) and len(unl):
+                        out.append((group["shard"][0].as_py(), part, len(unl), nn_risk_fit(pos, unl, prior, steps).tolist()))
+                columns = zip(*out, strict=True) if out else ([], [], [], [])
+                return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "part", "n", "w"])
+
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+            fitted = dealt.groupBy("shard").applyInArrow(learn_shard, "shard long, part long, n long, w array<double>")
+            weights: dict[int, list] = {}
+            for row in sorted(fitted.collect()):  # a short row a shard
+                weights.setdefault(row["part"], []).append((row["n"], row["w"]))
+            return {k: np.average([w for _, w in v], 0, [n for n, _ in v]) for k, v in weights.items()}
+
+        ranking = averaged([0, 1], 0.5, 300)
+
+        def scores(x: np.ndarray, is_good: np.ndarray, half: np.ndarray) -> np.ndarray:
+            x = np.clip((x - mean) / scale, -8, 8)
+            out = np.zeros((2, 2, _BINS))
+            for k, w in ranking.items():  # rows that the model has not seen
+                z = np.clip(x @ w[:-1], -_REACH, _REACH)
+                bins = ((z + _REACH) * ((_BINS - 1) / (2 * _REACH))).astype(np.int64)
+                for role, mine in enumerate((is_good, np.ones(len(x), bool))):
+                    out[k, role] = np.bincount(bins[mine & (half != k)], minlength=_BINS)
+            return out.ravel()
+
+        counts = _added(rows, scores, 4 * _BINS).reshape(2, 2, _BINS)
+        seen = [_binned_prior(*counts[k]) for k in sorted(ranking) if counts[k].sum(1).all()]
+        prior = float(np.mean(seen)) if seen else 0.5
+        return Model(mean, scale, averaged([2], prior, 600)[2], prior)
+
     def scored(self, docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
         """All columns of `docs` and the score of the text; a NULL text counts as empty."""
         shared = docs.sparkSession.sparkContext.broadcast(model)

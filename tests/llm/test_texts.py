@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from domicilia.llm.mixing import TARGETS, Mixing, rake
@@ -216,6 +217,29 @@ def test_quality_learns_from_every_picked_id(spark, monkeypatch):
     assert taken == [(2, 3)]
 
 
+def test_quality_fits_all_texts(spark, monkeypatch):
+    """More texts than a sample would hold; every one is in the sums."""
+    from domicilia.llm import quality
+
+    seen = []
+    real = quality._added
+
+    def watched(rows, block, size):
+        seen.append(rows.agg(F.sum(F.col("good").cast("int")), F.count("*")).first())
+        return real(rows, block, size)
+
+    monkeypatch.setattr(quality, "_added", watched)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 3 = 0, '###### ! 99', concat('plain words of text ', id % 50)) AS text")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 0, 1) AS quality").filter("doc_id % 2 = 0")
+    classifier = QualityClassifier(held=-1, shard=8000, least=3000)
+    model = classifier.model(docs, labels)
+    assert {tuple(s) for s in seen} == {(6666, 20_000)}
+    assert model.prior == pytest.approx(2 / 3, abs=0.03)
+    scored = classifier.scored(docs, model).groupBy((F.col("doc_id") % 3 == 0).alias("junk")).agg(F.min("score"), F.max("score"))
+    found = {r.junk: r for r in scored.collect()}
+    assert found[True][2] < 0.3 and found[False][1] > 0.7
+
+
 def test_prior():
     random = np.random.default_rng(1)
     pos, neg = random.normal(2, 1, 4000), random.normal(-3, 1, 4000)
