@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from domicilia.operators.aggregates import strict_sum
 from domicilia.operators.design import Design
 from domicilia.operators.estimate import Measures
 from domicilia.operators.joins import attach, bounded_side, null_safe
+from domicilia.session import materialize
 
 POLICIES = ("adjust", "average", "remove", "certainty", "fail")
 
@@ -47,16 +48,18 @@ class Linearised:
         if self.policy not in POLICIES:
             raise ValueError(f"no such policy: {self.policy}")
 
-    def _weights(self) -> DataFrame:
-        """(stratum, psu, post, w): the weight of each PSU by post-stratum."""
+    @cached_property
+    def weights(self) -> DataFrame:
+        """(stratum, psu, post, w): the weight of each PSU by post-stratum; stored, as the sample may take long to make."""
         d = self.design
         weight = F.col("w") * F.col(self.rows) if self.rows else F.col("w")
-        return self.sample.groupBy(d.stratum, d.psu, d.post).agg(F.sum(weight).alias("_w"))
+        return materialize(self.sample.groupBy(d.stratum, d.psu, d.post).agg(F.sum(weight).alias("_w")))
 
     def _strata(self) -> DataFrame:
         """PSUs of each stratum."""
         d = self.design
-        return self.sample.select(d.stratum, d.psu).distinct().groupBy(d.stratum).agg(F.count("*").alias("n_h"))
+        psus = self.weights if self.post_stratified else self.sample
+        return psus.select(d.stratum, d.psu).distinct().groupBy(d.stratum).agg(F.count("*").alias("n_h"))
 
     def variances(self, values: DataFrame, by: Sequence[str]) -> DataFrame:
         """(by, variance) of the sums of `_u` by domain.
@@ -66,13 +69,12 @@ class Linearised:
         """
         d, by = self.design, list(by)
         keys = [d.stratum, d.psu]
-        parts = values.groupBy(*by, *keys, d.post).agg(F.sum("_u").alias("_u"))
-        own = parts.groupBy(*by, *keys).agg(F.sum("_u").alias("_a"))
+        own = values.groupBy(*by, *keys).agg(F.sum("_u").alias("_a"))
         terms = own.groupBy(*by, d.stratum).agg(F.sum("_a").alias("_s"), F.sum(F.col("_a") * F.col("_a")).alias("_q"))
         if self.post_stratified:
-            weights = self._weights()
+            weights = self.weights
             sizes = weights.groupBy(d.post).agg(F.sum("_w").alias("_size"))
-            means = parts.groupBy(*by, d.post).agg(F.sum("_u").alias("_t")).join(sizes, d.post)
+            means = values.groupBy(*by, d.post).agg(F.sum("_u").alias("_t")).join(sizes, d.post)
             means = means.select(*by, d.post, F.try_divide("_t", "_size").alias("_mean"))
             terms = terms.unionByName(self._crossed(own, weights, means, by)).unionByName(self._squared(weights, means, by))
         sums = terms.groupBy(*by, d.stratum).agg(F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
@@ -165,23 +167,24 @@ class Linearised:
         Members of the other levels lower a share, so each PSU's weight in the group counts for all of its levels.
         """
         d, outer = self.design, list(outer)
-        rows, _ = self._measured(frame, [*outer, inner], {}, None)
-        cells = rows.groupBy(*outer, inner).agg(F.sum("w").alias("_cell"))
+        rows = frame.select(*dict.fromkeys([*outer, inner, d.stratum, d.psu, d.post, "w"]))
+        psu = [d.stratum, d.psu, d.post]
+        members = materialize(rows.groupBy(*outer, inner, *psu).agg(F.sum("w").alias("_w")))
+        cells = members.groupBy(*outer, inner).agg(F.sum("_w").alias("_cell"))
         whole = cells.groupBy(*outer).agg(F.sum("_cell").alias("_size"))
         points = _matched(cells, whole, outer).select(*outer, inner, "_size", F.try_divide("_cell", "_size").alias(name))
-        psu = [d.stratum, d.psu, d.post]
-        inside = _placed(rows.groupBy(*outer, inner, *psu).agg(F.sum("w").alias("_w")), points, [*outer, inner])
-        in_group = rows.groupBy(*outer, *psu).agg(F.sum("w").alias("_w"))
-        others = _placed(in_group, points, outer)
-        parts = inside.withColumn("_u", F.try_divide("_w", "_size")).select(*outer, inner, *psu, "_u")
-        taken = others.withColumn("_u", -F.try_divide(F.col("_w") * F.col(name), F.col("_size"))).select(*outer, inner, *psu, "_u")
-        return self._errors(points.drop("_size"), {name: parts.unionByName(taken)}, [*outer, inner], [name], **options)
+        # Dealt by PSU before each row is taken once for every level, so that those need no shuffle.
+        dealt = members.withColumnRenamed(inner, "_level").repartition(d.stratum, d.psu)
+        inside = F.when(F.col("_level").eqNullSafe(F.col(inner)), 1.0).otherwise(0.0)
+        values = _placed(dealt, points, outer).withColumn("_u", F.try_divide(F.col("_w") * (inside - F.col(name)), F.col("_size")))
+        values = values.select(*outer, inner, *psu, "_u")
+        return self._errors(points.drop("_size"), {name: values}, [*outer, inner], [name], **options)
 
     def _measured(self, frame: DataFrame, by: Sequence[str], measures: Measures, fill: str | None) -> tuple[DataFrame, list[str]]:
-        """Design columns, domains and measures; with `fill` also a copy of each row for the outer groups and for all."""
+        """Design columns, domains and measures, stored; with `fill` also a copy of each row for the outer groups and for all."""
         d, by = self.design, list(by)
         inputs = [(F.lit(1.0) if v is None else v.cast("double")).alias(f"_x_{n}") for n, v in measures.items()]
-        rows = frame.select(*dict.fromkeys([*by, d.stratum, d.psu, d.post, "w"]), *inputs)
+        rows = materialize(frame.select(*dict.fromkeys([*by, d.stratum, d.psu, d.post, "w"]), *inputs))
         if fill is None:
             return rows, by
         levels = F.explode(F.sequence(F.lit(0), F.lit(len(by))))

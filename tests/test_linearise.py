@@ -185,3 +185,12 @@ def test_bootstrap_weights_have_full_rank(spark):
     few = weighted.filter("psu < 5")
     rank = np.linalg.matrix_rank(wide[wide.index.get_level_values(1) < 5].to_numpy())
     assert e.degrees_of_freedom(few, replicates).first()["df"] == rank - 1
+
+
+def test_sample_is_made_once(spark):
+    """Shares and their errors come from stored tables, not from the sample made again for each sum."""
+    rows = spark.range(60).selectExpr("id AS psu", "id % 3 AS stratum", "id % 4 AS post", "1.0D + id % 5 AS w", "id % 2 AS g", "id % 7 AS level")
+    design = d.Design(psu="psu", stratum="stratum", post="post", replicates=0)
+    found = Linearised(rows, design).share(rows, ["g"], "level", vartype=["se"])
+    assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.groupBy("g").sum("pct").filter("abs(`sum(pct)` - 1) > 1e-9").isEmpty()
