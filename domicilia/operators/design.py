@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -109,13 +110,13 @@ def _bucket(design: Design) -> Column:
     return F.expr(f"cast(pmod({text}, {design.buckets}) as int) as _bucket")
 
 
-def _counter(replicates: int):
+def _counter(replicates: int, more: Sequence[str] = ()):
     """Counts of each PSU in replicates 1..R, for whole columns of PSUs at a time.
 
     The independent count is that of a Poisson variable whose distribution function comes with
-    `steps`, at a 52-bit number hashed from seed, stratum, PSU and replicate; it is kept in the
-    replicates that `keep` marks, all where it is NULL. `extra` draws come on top. A PSU alone in
-    its stratum counts once. The first place stands for the full sample.
+    `steps`, at a 52-bit number hashed from seed, stratum, PSU and replicate. `more` names the inputs that follow
+    the first four: it is kept in the replicates that `_keep` marks, all where there is none, and `_extra` draws, if
+    any, come on top. A PSU alone in its stratum counts once. The first place stands for the full sample.
     """
 
     def stirred(x: np.ndarray) -> np.ndarray:
@@ -127,8 +128,8 @@ def _counter(replicates: int):
     def grid(column: pa.Array, kind: str) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
-    def count(first: pa.Array, second: pa.Array, n_h: pa.Array, steps: pa.Array, keep: pa.Array, extra: pa.Array) -> pa.Array:
-        rows = len(first)
+    def count(first: pa.Array, second: pa.Array, n_h: pa.Array, steps: pa.Array, *others: pa.Array) -> pa.Array:
+        rows, given = len(first), dict(zip(more, others, strict=True))
         turns = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(_STRIDE)
         a = stirred((first.to_numpy().astype(np.uint64)[:, None] + turns) & np.uint64(_WORD))
         b = stirred(a ^ second.to_numpy().astype(np.uint64)[:, None])
@@ -139,11 +140,13 @@ def _counter(replicates: int):
             if not passed.any():
                 break
             out[:, 1:] += passed
-        if keep.null_count == 0 and rows:
-            out[:, 1:] *= grid(keep, "i2")
-        with_extra = np.flatnonzero(extra.is_valid().to_numpy(zero_copy_only=False))
-        if len(with_extra):
-            out[with_extra, 1:] += grid(extra.drop_null(), "i2")
+        if "_keep" in given and rows:
+            out[:, 1:] *= grid(given["_keep"], "i2")
+        if "_extra" in given:
+            extra = given["_extra"]
+            with_extra = np.flatnonzero(extra.is_valid().to_numpy(zero_copy_only=False))
+            if len(with_extra):
+                out[with_extra, 1:] += grid(extra.drop_null(), "i2")
         out[n_h.to_numpy() == 1] = 1
         edges = pa.array(np.arange(rows + 1, dtype=np.int32) * (replicates + 1))
         return pa.ListArray.from_arrays(edges, pa.array(out.ravel()))
@@ -156,12 +159,12 @@ def _with_counts(frame: DataFrame, strata: Side, design: Design, extra: DataFram
     digested = frame.withColumn("_md5", F.expr(_digest(design, f"`{design.psu}`")))
     words = {"_first": F.expr(_hex("_md5", 1, 8)), "_second": F.expr(_hex("_md5", 9, 8))}
     sized = attach(digested.withColumns(words).drop("_md5"), strata, [design.stratum], [design.psu])
-    none = {"_keep": "array<boolean>", "_extra": "array<smallint>"}
     if extra is not None:
         sized = sized.join(extra, [design.stratum, design.psu], "left")
-    sized = sized.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items() if c not in sized.columns})
-    inputs = ["_first", "_second", "n_h", "_steps", "_keep", "_extra"]
-    return sized.withColumn("_counts", _counter(design.replicates)(*inputs)).drop("_first", "_second", "_steps", "_keep", "_extra")
+    # Only inputs that there are: a NULL literal of an array type takes Spark longer a row than all counts.
+    more = [c for c in ("_keep", "_extra") if c in sized.columns]
+    inputs = ["_first", "_second", "n_h", "_steps", *more]
+    return sized.withColumn("_counts", _counter(design.replicates, more)(*inputs)).drop(*inputs[:2], "_steps", *more)
 
 
 def _poisson_steps(rate: str) -> Column:
@@ -182,9 +185,14 @@ def _strata(sizes: Side, design: Design) -> Side:
     )
 
 
+def _unfolded(counts: str, name: str) -> Column:
+    """Numbers of draws by replicate, of which there are some. Without "outer" Spark tests first whether there are, by making them twice."""
+    return F.posexplode_outer(counts).alias("rep", name)
+
+
 def _fills(counts: DataFrame, design: Design) -> DataFrame:
     """Per stratum: which replicates keep their independent counts, and the draws left."""
-    unfolded = counts.select(design.stratum, "n_h", F.posexplode("_counts").alias("rep", "_k")).filter("rep > 0")
+    unfolded = counts.select(design.stratum, "n_h", _unfolded("_counts", "_k")).filter("rep > 0")
     sums = unfolded.groupBy(design.stratum, "n_h", "rep").agg(F.sum("_k").alias("_sum"))
     listed = sums.groupBy(design.stratum, "n_h").agg(F.expr("array_sort(collect_list(struct(rep, _sum))) as _sums"))
     left = "if(s._sum <= n_h - 1, n_h - 1 - s._sum, n_h - 1)"
@@ -252,7 +260,7 @@ class Replicates:
         """
         kept = [c for c in frame.columns if c != "draws"]
         scaled = frame.select(*kept, F.col("draws.scale").alias("_scale"), F.col("draws.counts").alias("_counts"))
-        unfolded = scaled.select(*kept, "_scale", F.posexplode("_counts").alias("rep", "_k"))
+        unfolded = scaled.select(*kept, "_scale", _unfolded("_counts", "_k")).filter("rep IS NOT NULL")
         return unfolded.withColumn("factor", F.expr("if(rep = 0, 1D, _k * _scale)")).drop("_k", "_scale")
 
 

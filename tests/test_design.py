@@ -158,3 +158,15 @@ def test_summary(spark):
     members = psu_frame(spark, {1: 4, 2: 1}).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
     got = {r["stratum"]: (r["n_psu"], r["n_rows"]) for r in d.design_summary(members, DESIGN).collect()}
     assert got == {1: (4, 12), 2: (1, 3)}
+
+
+def test_counts_are_made_once(spark):
+    """Sums of counts take them from one call, with no NULL literal among its inputs."""
+    design = d.Design(psu="psu", stratum="stratum", replicates=5, buckets=4)
+    psus = spark.range(50).selectExpr("id AS psu", "id % 2 AS stratum")
+    sizes = psus.select("stratum", d._bucket(design)).groupBy("stratum", "_bucket").agg(F.count("*").alias("_n"))
+    counts = d._with_counts(psus, d._strata(d.bounded_side(sizes), design), design)
+    for frame in (d._fills(counts, design), d.Replicates(design).unfold(counts.selectExpr("psu", "struct(1D AS scale, _counts AS counts) AS draws"))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        calls = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+        assert len(calls) == 1 and "null" not in calls[0]
