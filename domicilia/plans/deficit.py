@@ -134,6 +134,10 @@ def cohabitation_share_table(survey: Survey) -> DataFrame:
     return wide.withColumn("coabitaçao", F.col(SITUATIONS[0]) + F.col(SITUATIONS[1]))
 
 
+# What `rent_base` and the rent burden take of the heads.
+RENT_COLUMNS = ["A01ra", "renda_dom", "inflator_geral", "B05", "onus_aluguel"]
+
+
 def rent_base(survey: Survey) -> DataFrame:
     """Heads whose household has a known, low, positive real income and no invalid rent."""
     income = F.col("renda_dom") * F.col("inflator_geral")
@@ -148,6 +152,7 @@ def rent_burden(survey: Survey) -> DataFrame:
 
 def rent_burden_share(survey: Survey) -> DataFrame:
     """Burdened share of the low-income dwellings, and of all dwellings."""
+    survey = survey.with_stored_heads(RENT_COLUMNS)
     among = survey_share(rent_base(survey), ["RA_nome"], "onus_aluguel", survey.by_dwelling.replicates, "pct_renda_baixa", ["cv"])
     burdened = among.filter(F.col("onus_aluguel") == 1).drop("onus_aluguel")
     whole = survey_mean(
@@ -245,6 +250,7 @@ def deficit_final_table(survey: Survey) -> DataFrame:
     its table is joined, while the others come out of one aggregation.
     """
     flags = _flags(["habit_prec", "adens", "cohabit_familiar"])
+    survey = survey.with_stored_heads([*RENT_COLUMNS, *flags])
     three = survey_total(region_name(survey.dwelling_heads), ["RA_nome"], flags, survey.by_dwelling.replicates, ["cv"], codes.TOTAL_LABEL)
     return null_safe_left_join(three, rent_burden(survey), ["RA_nome"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from copy import copy
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -70,6 +72,7 @@ class Survey:
         self.residents = residents
         self.counted = residents if counted is None else counted
         self.index = index
+        self.stored = False
 
     @cached_property
     def point(self) -> Survey:
@@ -102,12 +105,24 @@ class Survey:
         self.by_resident = self.by_resident.materialize()
         self.heads = self.dwelling_heads = materialize(self.heads)
         self.people = materialize(self.people)
+        self.stored = True
         point = self.point
         if point is not self:
+            point.stored = True
             point.by_dwelling, point.by_resident = self.by_dwelling.point(), self.by_resident.point()
             point.heads, point.dwelling_heads, point.people = self.heads, self.dwelling_heads, self.people
         return self
 
+    def with_stored_heads(self, columns: Sequence[str]) -> Survey:
+        """The survey with heads that are made once and stored, with these columns, for several estimates from them."""
+        if self.stored:
+            return self
+        heads = materialize(self.heads.select(*columns, "w", "draws"))
+        other = copy(self)
+        other.heads = other.dwelling_heads = heads
+        other.stored = True
+        return other
+
     @cached_property
     def hot(self) -> DataFrame | None:
         """Dwellings that hold very many resident rows, if any."""

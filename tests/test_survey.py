@@ -136,3 +136,11 @@ def test_crowding_without_bedrooms(spark):
 
 def test_default_design_uses_fifty_replicates():
     assert Design().replicates == 50
+
+
+@pytest.mark.parametrize("build", [deficit.deficit_final_table, deficit.rent_burden_share])
+def test_heads_are_made_once(spark, build):
+    """Estimates that need the heads several times read them from one stored table."""
+    found = build(open_survey(spark, "/root/testdata/sf0.001"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "lineitem" not in plan
