@@ -4,7 +4,7 @@ Tables are those of `polygons`: (poly_id, ring, seq, x, y), ring 0 the outline,
 Edges are directed with the inside on their left, so a border that two polygons of one region share
 occurs once in each direction and cancels. What is left is chained into rings: each edge
 finds its follower at its end point, and pointers are doubled until every edge knows its ring
-and its place. Rounds grow with the logarithm of the longest ring, and every round is stored.
+and its place, both in one go. Rounds grow with the logarithm of the longest ring, and every round is stored.
 """
 
 from __future__ import annotations
@@ -90,27 +90,20 @@ def chain(directed: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
     stored = materialize(directed.select(*by, *POINTS).withColumn("id", F.monotonically_increasing_id()))
     links = materialize(_followers(stored, by))
-    state, moved = links.withColumn("least", F.col("id")), True
+    # The least edge among the next `span`, and how far it is: once these go round, the ring and the way to its first edge.
+    state, span, moved = links.withColumns({"least": F.col("id"), "away": F.lit(0).cast("long")}), 1, True
     while moved:
-        step = _doubled(state, ["least"])
+        step = _doubled(state, ["least", "away"])
+        less = F.col("_least") < F.col("least")
+        away = F.when(less, F.col("_away") + span).otherwise(F.col("away"))
         least = F.least("least", "_least")
-        state = materialize(step.select("id", F.col("_next").alias("next"), least.alias("least"), (least != F.col("least")).alias("moved")))
-        moved = state.agg(F.max("moved")).first()[0]
-    rings = state.select("id", F.col("least").alias("ring"))
-    # Places: rings are opened before their first edge, and steps to the end are doubled.
-    first = rings.filter("id = ring").select(F.col("id").alias("_first"))
-    opened = links.join(first, F.col("next") == F.col("_first"), "left")
-    state = opened.select("id", F.when(F.col("_first").isNull(), F.col("next")).alias("next"))
-    state, left = state.withColumn("steps", F.col("next").isNotNull().cast("long")), True
-    while left:
-        step = _doubled(state, ["steps"])
-        steps = F.col("steps") + F.coalesce("_steps", F.lit(0))
-        state = materialize(step.select("id", F.col("_next").alias("next"), steps.alias("steps")))
-        left = not state.filter("next IS NOT NULL").isEmpty()
-    placed = stored.join(rings, "id").join(state.select("id", "steps"), "id")
-    sizes = placed.groupBy("ring").agg(F.max("steps").alias("_last"), F.sum(_cross(*[F.col(c) for c in POINTS])).alias("_area"))
+        state = materialize(step.select("id", F.col("_next").alias("next"), least.alias("least"), away.alias("away"), less.alias("moved")))
+        span, moved = 2 * span, state.agg(F.max("moved")).first()[0]
+    placed = stored.join(state.select("id", F.col("least").alias("ring"), "away"), "id")
+    sizes = placed.groupBy("ring").agg(F.count("*").alias("_edges"), F.sum(_cross(*[F.col(c) for c in POINTS])).alias("_area"))
     sized = join_to_unique(placed, sizes, ["ring"], "inner", hot_keys(placed, ["ring"]))
-    return sized.select(*by, "ring", (F.col("_last") - F.col("steps")).alias("seq"), "x", "y", (F.col("_area") < 0).alias("hole"))
+    seq = F.when(F.col("away") == 0, F.lit(0).cast("long")).otherwise(F.col("_edges") - F.col("away"))
+    return sized.select(*by, "ring", seq.alias("seq"), "x", "y", (F.col("_area") < 0).alias("hole"))
 
 
 def measures(directed: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -159,3 +159,18 @@ def test_nothing(spark):
     assert d.repair(empty).count() == 0
     assert d.dissolve(empty, spark.createDataFrame([], "poly_id long, g int"), "g").count() == 0
     assert d.repaired(empty).select(F.count("*")).first()[0] == 0
+
+
+def test_rings_and_places_in_one_doubling(spark, monkeypatch):
+    """A ring of four edges takes two rounds and one that finds nothing new, beside the two tables it starts from."""
+    stored = []
+    real = d.materialize
+    monkeypatch.setattr(d, "materialize", lambda frame: stored.append(1) or real(frame))
+    corners = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)]
+    rows = [(k, *a, *b) for k in range(3) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
+    rings = d.chain(spark.createDataFrame(rows, "key int, x double, y double, x2 double, y2 double"), ["key"])
+    assert len(stored) <= 5
+    for _, ring in rings.toPandas().sort_values("seq").groupby("key"):
+        assert ring.seq.tolist() == [0, 1, 2, 3] and not ring.hole.any()
+        places = [corners.index(p) for p in zip(ring.x, ring.y, strict=True)]
+        assert [(p - places[0]) % 4 for p in places] == [0, 1, 2, 3]
